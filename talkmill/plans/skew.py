@@ -32,35 +32,43 @@ def bucketed_rank(
     )
 
 
-def copies_with_first(rows: DataFrame, key: Sequence[str], ident: str, hot_share: int = 1000) -> DataFrame:
-    """Give each row of a repeated key the key's smallest ``ident`` and its count.
+def copies_with_first(rows: DataFrame, key: str, ident: str, hot_share: int = 1000, salts: int = 64) -> DataFrame:
+    """Rows whose ``key`` occurs more than once, with the key's count and smallest ``ident``.
 
-    1. Exact partial counts per key (map-side combined) find the repeated keys.
-    2. A key with more than 1/``hot_share`` of all rows is hot; there are fewer
-       than ``hot_share`` such keys, whatever the size of the data, so their
-       summary is broadcast and their rows never meet in one task.
-    3. All other keys take one shuffle join.
+    1. Partial counts per key (combined before the shuffle) find the hot keys
+       exactly: those with more than 1/``hot_share`` of all rows. Fewer than
+       ``hot_share`` keys can be hot whatever the size of the data, so that list
+       is broadcast.
+    2. Rows of hot keys aggregate in two levels: per (key, salt), then per key.
+    3. All other rows aggregate in one level, by one shuffle on the key.
+    4. The summaries of repeated keys go back to the rows: by broadcast for hot
+       keys, by a shuffle join for the rest, where no key is hot.
 
-    Keys that occur once are left out. Null keys must be removed by the caller.
+    ``rows`` should be a written table (see ``cut``): it is read three times.
+    Rows with a null key are no copies of anything and are left out. Adds the
+    columns ``n_copies`` and ``first_ident``; ties of ``ident`` count as rows.
     """
-    key = list(key)
-    summary = salted_min_count(rows, key, ident)
-    repeated = summary.where("n > 1")
-    n_rows = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    flagged = repeated.crossJoin(F.broadcast(n_rows))  # a single row
-    hot = flagged.where(F.col("n") * hot_share > F.col("n_rows")).drop("n_rows")
-    rest = flagged.where(F.col("n") * hot_share <= F.col("n_rows")).drop("n_rows")
-    from_hot = rows.join(F.broadcast(hot), key)
-    from_rest = rows.join(rest, key)
-    return from_hot.unionByName(from_rest)
-
-
-def salted_min_count(rows: DataFrame, key: Sequence[str], ident: str, salts: int = 64) -> DataFrame:
-    """Two-level ``count`` and ``min(ident)`` per key: first per (key, salt), then per key.
-
-    The salt spreads a hot key's partial groups over ``salts`` reducers, so that the
-    second level merges at most ``salts`` rows of any key.
-    """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int"))
-    first = salted.groupBy(*key, "__salt").agg(F.count(F.lit(1)).alias("n"), F.min(ident).alias("first_ident"))
-    return first.groupBy(*key).agg(F.sum("n").alias("n"), F.min("first_ident").alias("first_ident"))
+    rows = rows.where(F.col(key).isNotNull())
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n_copies"))
+    total = rows.agg(F.count(F.lit(1)).alias("n_rows"))
+    hot = (
+        counts.join(F.broadcast(total), F.col("n_copies") * hot_share > F.col("n_rows"))
+        .where("n_copies > 1")
+        .select(key)
+    )
+    hot_rows = rows.join(F.broadcast(hot), key, "left_semi")
+    cold_rows = rows.join(F.broadcast(hot), key, "left_anti")
+    salted = (
+        hot_rows.withColumn("__salt", F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int"))
+        .groupBy(key, "__salt")
+        .agg(F.count(F.lit(1)).alias("n_copies"), F.min(ident).alias("first_ident"))
+    )
+    hot_summary = salted.groupBy(key).agg(
+        F.sum("n_copies").alias("n_copies"), F.min("first_ident").alias("first_ident")
+    )
+    cold_summary = (
+        cold_rows.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("n_copies"), F.min(ident).alias("first_ident"))
+        .where("n_copies > 1")
+    )
+    return hot_rows.join(F.broadcast(hot_summary), key).unionByName(cold_rows.join(cold_summary, key))
