@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from talkmill.llm import p5_copies
+from talkmill.llm import p1_talks, p5_copies
 
 
 def queries():
-    return {"p5_found": p5_copies.p5_found, "p5_collapsed": p5_copies.p5_collapsed}
+    return {
+        "p1_found": p1_talks.p1_found, "p1_talks": p1_talks.p1_talks, "p1_sessions": p1_talks.p1_sessions,
+        "p5_found": p5_copies.p5_found, "p5_collapsed": p5_copies.p5_collapsed}
 
 
 def oracle_sql():
