@@ -35,9 +35,10 @@ BREAK = "\x00"
 APOSTROPHES = "'`´‘’‚‛ʹʻʼʽˈˊˋ′‵＇"
 
 _ASCII = bytes(c if c == 0 or chr(c).isalnum() else 32 for c in range(128)).lower() + bytes([32]) * 128
-_DROP = str.maketrans("", "", APOSTROPHES)
 _GAP = re.compile(r"[\W_]+")
-_HIDDEN = re.compile("[­؀-؅؜۝܏᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿￹-￻]")
+_APOSTROPHE = re.compile(f"[{APOSTROPHES}]")
+#: Apostrophes and invisible characters (soft hyphen, joiners, marks of direction and variation).
+_HIDDEN = re.compile(f"[{APOSTROPHES}­؀-؅؜۝܏᠎​-‏‪-‮⁠-⁤⁦-⁯︀-️﻿￹-￻]")
 
 
 def word_text(text: str) -> str:
@@ -45,7 +46,8 @@ def word_text(text: str) -> str:
     if text.isascii():
         plain = text.encode().translate(_ASCII, b"'`").decode()
     else:
-        plain = unicodedata.normalize("NFKC", _HIDDEN.sub("", text.translate(_DROP))).translate(_DROP).lower()
+        plain = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))  # may bring up new apostrophes
+        plain = _APOSTROPHE.sub("", plain).lower()
         plain = f" {BREAK} ".join(_GAP.sub(" ", part) for part in plain.split(BREAK)) if BREAK in plain else _GAP.sub(" ", plain)
     return f" {' '.join(plain.split())} "
 
@@ -200,4 +202,4 @@ def p4_leaks(spark: SparkSession, folder: str, run: int = 8, budget: int = 1) ->
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """(tbl, rec_id, item_id): records where eight or more successive words of an item stand without any edit."""
-    return p4_leaks(spark, folder).where("errors = 0").select("tbl", "rec_id", "item_id")
+    return p4_leaks(spark, folder, budget=0).select("tbl", "rec_id", "item_id")
