@@ -117,8 +117,15 @@ class Matcher:
                 if around is None:  # the words of the text that a window with the piece can reach
                     first = end + 1 - chars
                     reach = run + budget - size
-                    around = [*before(plain, first + 1, reach), *plain[first + 1 : end].split(" "), *after(plain, end, reach)]
+                    left, right = before(plain, first + 1, reach), after(plain, end, reach)
+                    around = [*left, *plain[first + 1 : end].split(" "), *right]
                 words = self.words[item]
+                if budget == 0 and run > size:  # an exact longer run also has the word on one side of the piece
+                    stop = start + size
+                    if not (
+                        start > 0 and left and words[start - 1] == left[-1] or stop < len(words) and right and words[stop] == right[0]
+                    ):
+                        continue
                 for s in range(max(0, start + size - run), min(start, len(words) - run) + 1):
                     errors = myers(words[s : s + run], around)
                     if errors <= budget and errors < found.get(item, budget + 1):
