@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from talkmill.plans.lineage import cut
 from talkmill.sources.tables import table
@@ -246,8 +246,7 @@ def banded(a: np.ndarray, b: np.ndarray, k: int, change: int) -> int:
     return min(row[m], far)
 
 
-@F.pandas_udf("int")
-def banded_distance(a: pd.Series, b: pd.Series, k: pd.Series, change: pd.Series) -> pd.Series:
+def distances(a: pd.Series, b: pd.Series, k: pd.Series, change: pd.Series) -> pd.Series:
     return pd.Series([banded(x.tolist(), y.tolist(), int(d), int(c)) for x, y, d, c in zip(a, b, k, change)], dtype="int32")
 
 
@@ -256,10 +255,10 @@ def one_of_each(rows: DataFrame) -> DataFrame:
     return rows.select("side", "skey", "words").dropDuplicates(["side", "skey"])
 
 
-def joined(keys: DataFrame, fits: Column) -> DataFrame:
+def joined(sets: DataFrame, cutter, fits: Column) -> DataFrame:
     """Distinct (eval_key, train_key) that share a segment hash and may fit."""
-    e = keys.where("side = 'eval'").drop("side").alias("e")
-    t = keys.where("side = 'train'").drop("side", "band").alias("t")
+    e = sets.where("side = 'eval'").mapInArrow(cutter, KEYS).drop("side").alias("e")
+    t = sets.where("side = 'train'").mapInArrow(cutter, KEYS).drop("side", "band").alias("t")
     return (
         e.join(t, (F.col("e.key") == F.col("t.key")) & (F.col("e.len") == F.col("t.len")) & fits)
         .select(F.col("e.skey").alias("eval_key"), F.col("t.skey").alias("train_key"))
@@ -279,6 +278,7 @@ def verified(pairs: DataFrame, classes: DataFrame, ordered: Column, k: Column, c
     sides = classes.select("side", "skey", "words", ordered.alias("seq"))
     e = sides.where("side = 'eval'").select(F.col("skey").alias("eval_key"), F.col("words").alias("e_words"), F.col("seq").alias("e_seq"))
     t = sides.where("side = 'train'").select(F.col("skey").alias("train_key"), F.col("words").alias("t_words"), F.col("seq").alias("t_seq"))
+    banded_distance = F.pandas_udf(distances, T.IntegerType())
     both = pairs.join(e, "eval_key").join(t, "train_key").withColumn("k", k)
     return both.where(banded_distance("e_seq", "t_seq", "k", F.lit(change)) <= F.col("k"))
 
@@ -294,7 +294,6 @@ def spec_pairs(rows: DataFrame) -> DataFrame:
     for row in counted.toLocalIterator():  # at most BUCKETS rows
         share[row["b"]] = row["count"]
     share = np.clip(share / total, 1.0 / total, 1.0)
-    keys = sets.mapInArrow(lambda batches: set_keys(batches, share), KEYS)
     limit = F.floor((F.col("e.size") + F.col("t.size")) / F.lit(7))
     num, den = SHARE
     fits = (
@@ -309,7 +308,7 @@ def spec_pairs(rows: DataFrame) -> DataFrame:
         )
     )
     k = F.floor((F.size("e_words") + F.size("t_words")) / F.lit(7)).cast("int")
-    near = verified(joined(keys, fits), classes, seq, k, change=2)
+    near = verified(joined(sets, lambda batches: set_keys(batches, share), fits), classes, seq, k, change=2)
     common = F.size(F.array_intersect("e_words", "t_words"))
     union = F.size("e_words") + F.size("t_words") - common
     return near.where(common * den >= union * num).select("eval_key", "train_key")
@@ -320,9 +319,9 @@ def intent_pairs(rows: DataFrame, k: int = 1) -> DataFrame:
     classes = one_of_each(rows)
     seq = hashes("words")
     sets = classes.select("side", "skey", seq.alias("seq"))
-    keys = sets.mapInArrow(lambda batches: sequence_keys(batches, k), KEYS)
     fits = (F.abs(F.col("e.size") - F.col("t.size")) <= k) & (shift() <= k)
-    return verified(joined(keys, fits), classes, seq, F.lit(k), change=1).select("eval_key", "train_key")
+    pairs = joined(sets, lambda batches: sequence_keys(batches, k), fits)
+    return verified(pairs, classes, seq, F.lit(k), change=1).select("eval_key", "train_key")
 
 
 def spread(pairs: DataFrame, rows: DataFrame, tbl: str) -> DataFrame:
