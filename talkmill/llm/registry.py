@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkmill.llm import p1_talks, p3_splits, p4_leaks, p5_copies
+from talkmill.llm import p1_talks, p3_splits, p4_leaks, p5_copies, p8_quality
 
 
 def queries():
@@ -10,7 +10,9 @@ def queries():
         "p1_found": p1_talks.p1_found, "p1_talks": p1_talks.p1_talks, "p1_sessions": p1_talks.p1_sessions,
         "p3_found": p3_splits.p3_found, "p3_overlaps": p3_splits.p3_overlaps,
         "p4_found": p4_leaks.p4_found, "p4_leaks": p4_leaks.p4_leaks,
-        "p5_found": p5_copies.p5_found, "p5_collapsed": p5_copies.p5_collapsed}
+        "p5_found": p5_copies.p5_found, "p5_collapsed": p5_copies.p5_collapsed,
+        "p8_found": p8_quality.p8_found, "p8_stats": p8_quality.p8_stats,
+    }
 
 
 def oracle_sql():
