@@ -84,18 +84,17 @@ def counts(rows: DataFrame, common: list[str]) -> DataFrame:
     return shaped.select(
         *[c for c in rows.columns if c not in ("text", "prev")],
         F.length(text).cast("bigint").alias("chars"),
-        count(r"\S").alias("solid"),
-        count(r"\p{L}").alias("letters"),
+        F.aggregate("shapes", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("solid"),
+        F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s + F.length(w)).alias("letters"),
         count(r"(?i)[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿı]").alias("vowels"),
         count(r"\p{N}").alias("digits"),
         count(r"[^\p{L}\p{N}\s.,!?;:'’\"“”«»()¿¡…\-–—]").alias("symbols"),
-        count(MOJIBAKE).alias("mojibake"),
+        F.when(text.rlike("[ÃÂâð�]"), count(MOJIBAKE)).otherwise(F.lit(0)).cast("bigint").alias("mojibake"),
         (F.size("words") - inside(r"\p{L}")).alias("words"),
-        F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s + F.length(w)).alias("word_chars"),
         F.size(F.filter("words", lambda w: w.isin(*common))).cast("bigint").alias("common"),
         (count(r"\S+") - inside(r"\S")).alias("tokens"),
         count(r"(?<!\S)[0-9a-fA-F]{2}(?!\S)").alias("hex_pairs"),
-        count(r"%[0-9a-fA-F]{2}").alias("escapes"),
+        F.when(F.contains(text, F.lit("%")), count(r"%[0-9a-fA-F]{2}")).otherwise(F.lit(0)).cast("bigint").alias("escapes"),
         F.aggregate(
             F.regexp_extract_all(text, F.lit(r"\S{30,}"), F.lit(0)), F.lit(0).cast("bigint"), lambda s, w: s + F.length(w)
         ).alias("long_chars"),
@@ -133,7 +132,7 @@ def line_shape(x: Column) -> Column:
 
 
 SUMS = (
-    "chars", "solid", "letters", "vowels", "digits", "symbols", "mojibake", "words", "word_chars", "common", "tokens", "hex_pairs",
+    "chars", "solid", "letters", "vowels", "digits", "symbols", "mojibake", "words", "common", "tokens", "hex_pairs",
     "escapes", "long_chars", "ends", "lines", "closed_lines", "bullet_lines", "table_chars", "log_chars", "item_chars", "text_chars",
 )
 
@@ -203,7 +202,7 @@ def p8_stats(spark: SparkSession, folder: str) -> DataFrame:
         F.col("chars").alias("n_chars"),
         F.col("words").alias("n_words"),
         F.col("lines").alias("n_lines"),
-        part("word_chars", "words").alias("mean_word_length"),
+        part("letters", "words").alias("mean_word_length"),
         part("symbols", "solid").alias("symbol_ratio"),
         part("digits", "solid").alias("digit_ratio"),
         part("closed_lines", "lines").alias("closed_line_share"),
