@@ -56,13 +56,15 @@ class LinearChain:
         rows = np.arange(n)
         return [emit, move, (truth[:, 0] - single[:, 0]).sum(0), (truth[rows, last] - single[rows, last]).sum(0)]
 
-    def fit(self, x, y, mask, weight, steps=250, rate=0.08, decay=1e-3):
-        """Climb the penalized likelihood; the same sample always gives the same weights."""
+    def fit(self, batches, steps=160, rate=0.08, decay=1e-3):
+        """Climb the penalized likelihood of all (x, y, mask, weight); the same sample gives the same weights."""
+        whole = sum(b[3].sum() for b in batches)
         first = [np.zeros_like(p) for p in self.parts()]
         second = [np.zeros_like(p) for p in self.parts()]
         for step in range(1, steps + 1):
-            for p, g, m, v in zip(self.parts(), self.gradient(x, y, mask, weight), first, second):
-                g = g / weight.sum() - decay * p
+            parts = [self.gradient(*b) for b in batches]
+            for p, g, m, v in zip(self.parts(), map(sum, zip(*parts)), first, second):
+                g = g / whole - decay * p
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)

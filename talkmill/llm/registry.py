@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from talkmill.llm import p1_talks, p3_splits, p4_leaks, p5_copies, p8_quality
+from talkmill.llm import p1_talks, p2_defects, p3_splits, p4_leaks, p5_copies, p8_quality
 
 
 def queries():
     return {
         "p1_found": p1_talks.p1_found, "p1_talks": p1_talks.p1_talks, "p1_sessions": p1_talks.p1_sessions,
+        "p2_found": p2_defects.p2_found, "p2_tagged": p2_defects.p2_tagged,
         "p3_found": p3_splits.p3_found, "p3_overlaps": p3_splits.p3_overlaps,
         "p4_found": p4_leaks.p4_found, "p4_leaks": p4_leaks.p4_leaks,
         "p5_found": p5_copies.p5_found, "p5_collapsed": p5_copies.p5_collapsed,
