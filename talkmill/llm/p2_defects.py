@@ -79,7 +79,7 @@ UNWILLING = re.compile(
     r"|chiedere a (?:qualcun|altr)\w*|qualcun altro|mi hanno chiesto|vietato"
     r"|ne (?:peux|dois|veux|puis|vais|suis|saurais) pas|n'ai pas le droit|pas le droit|préfère ne|préfère me taire|me taire|mieux vaut ne"
     r"|quelqu'un d'autre|demandé de ne pas|pas autorisé\w*|pas à moi|interdit|m'abst\w+"
-    r"|(?:kann|darf|will|möchte|werde|soll|sollte)\b.*\b(?:nicht|nichts|kein\w*)|die finger lassen|lieber nicht\w*|jemand(?:en)? ander\w*|nicht erlaubt|untersagt|verboten|leider nicht|nicht zuständig)",
+    r"|(?:kann|darf|will|möchte|werde|soll|sollte)\b.*\b(?:nicht|nichts|kein\w*)|die finger lassen|lieber nicht\w*|jemand(?:en)? ander\w*|nicht erlaubt|untersagt|verboten|leider nicht|nicht zuständig)(?!\w)",
     re.I,
 )
 SPEECH = re.compile(
