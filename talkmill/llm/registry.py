@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkmill.llm import p1_talks, p2_defects, p3_splits, p4_leaks, p5_copies, p8_quality
+from talkmill.llm import p1_talks, p2_defects, p3_splits, p4_leaks, p5_copies, p6_packing, p7_mixing, p8_quality
 
 
 def queries():
@@ -12,6 +12,8 @@ def queries():
         "p3_found": p3_splits.p3_found, "p3_overlaps": p3_splits.p3_overlaps,
         "p4_found": p4_leaks.p4_found, "p4_leaks": p4_leaks.p4_leaks,
         "p5_found": p5_copies.p5_found, "p5_collapsed": p5_copies.p5_collapsed,
+        "p6_pack": p6_packing.p6_pack, "p6_fill": p6_packing.p6_fill,
+        "p7_mix": p7_mixing.p7_mix, "p7_shares": p7_mixing.p7_shares,
         "p8_found": p8_quality.p8_found, "p8_stats": p8_quality.p8_stats,
     }
 
