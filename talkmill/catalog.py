@@ -7,16 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents per source, until the corpus report is in."""
-    from talkmill.sources.tables import table
+def _all():
+    import importlib
+
+    found = {}
+    for name in ("corpus", "dialogue", "relational"):
+        found |= importlib.import_module(f"talkmill.queries.{name}").QUERIES
+    return found
 
-    return table(spark, folder, "documents").groupBy("source").count()
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Reject reasons of the corpus per source, strict and permissive."""
+    return _all()["reject_reasons"][0](spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: function for name, (function, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}

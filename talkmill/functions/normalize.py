@@ -1,0 +1,75 @@
+"""Text normalization. NFKC has no Spark built-in and is one Arrow UDF; all else is expressions."""
+
+from __future__ import annotations
+
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column, functions as F, types as T
+
+QUOTES = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "–": "-", "—": "-", "…": "...", " ": " "}
+SPACES = r"[\p{Z}\t\n\x0B\f\r\x1C-\x1F\x85]"
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility form; the only step that leaves the JVM, and only for texts beyond ASCII."""
+
+    def convert(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(convert, T.StringType())(text)).otherwise(text)
+
+
+def tidy(text: Column, links: bool = True) -> Column:
+    """All steps after NFKC: quotes and dashes, links, speaker prefix, contractions, spacing, repeated marks."""
+    for a, b in QUOTES.items():
+        text = F.replace(text, F.lit(a), F.lit(b))
+    if links:
+        text = F.regexp_replace(text, r"https?://\S+|www\.\S+", "<link>")
+        text = F.regexp_replace(text, r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "<email>")
+    text = F.regexp_replace(text, r"(?i)^\s*(?:user|assistant|human|ai|bot|a|b)\s*[:>]\s*", "")
+    text = F.regexp_replace(text, r"(?i)\b(\w+)\s+'\s*(s|t|re|ve|ll|d|m)\b", "$1'$2")
+    text = F.regexp_replace(text, r"\s+([,.!?;:%])", "$1")
+    for mark in ("!", "?", ".", ","):
+        text = F.regexp_replace(text, rf"[{mark}]{{4,}}", mark * 3)
+    text = F.regexp_replace(text, r"\n{2,}", "\n")
+    text = F.regexp_replace(text, r"[ \t\xa0]+", " ")
+    return F.regexp_replace(text, rf"^{SPACES}+|{SPACES}+$", "")
+
+
+def normalize(text: Column, links: bool = True) -> Column:
+    return tidy(nfkc(text), links)
+
+
+def surface(text: Column) -> Column:
+    """Lower case, only a-z, 0-9 and apostrophes, single spaces: the form in which prompts are compared."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9' ]+", " "), r"\s+", " "))
+
+
+def without_length_mark(text: Column) -> Column:
+    return F.regexp_replace(text, r"^<\|len_(?:reaction|vshort|short|medium)\|>\s*", "")
+
+
+def first_json(text: Column) -> Column:
+    """The first brace-balanced object of a reply, code fences aside; null without one."""
+
+    def scan(t):
+        start = t.find("{") if t else -1
+        depth, quoted, escaped = 0, False, False
+        for i in range(start, len(t or "")) if start >= 0 else ():
+            c = t[i]
+            if quoted:
+                quoted, escaped = (quoted, False) if escaped else (c != '"', c == "\\")
+            elif c == '"':
+                quoted = True
+            elif c in "{}":
+                depth += 1 if c == "{" else -1
+                if not depth:
+                    return t[start : i + 1]
+        return None
+
+    plain = F.regexp_replace(text, r"```\w*", "")
+    def scan_all(texts: pd.Series) -> pd.Series:
+        return texts.map(scan)
+
+    return F.pandas_udf(scan_all, T.StringType())(plain)
