@@ -237,8 +237,8 @@ def endings(spark: SparkSession, folder: str) -> DataFrame:
     """(word, inside, ends, longer) of words that end some open text.
 
     ``inside`` counts the word before another word, ``ends`` as the last of a text,
-    ``longer`` the inside places of longer words that begin with it. Words of more than 40
-    letters are no words and give no prefixes.
+    ``longer`` the places of longer words that begin with it and are known (some place inside a
+    text, or five ends). Words of more than 40 letters are no words and give no prefixes.
     """
     texts = None
     for _, frame in sources(spark, folder):
@@ -261,10 +261,10 @@ def endings(spark: SparkSession, folder: str) -> DataFrame:
         F.max(~F.col("inside") & F.col("open")).alias("open"),
     )
     prefixes = (
-        vocabulary.where("inside > 0 and length(word) between 2 and 40")
-        .select("inside", F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> substr(word, 1, k))")).alias("word"))
+        vocabulary.where("(inside > 0 or ends >= 5) and length(word) between 2 and 40")
+        .select((F.col("inside") + F.col("ends")).alias("all"), F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> substr(word, 1, k))")).alias("word"))
         .groupBy("word")
-        .agg(F.sum("inside").alias("longer"))
+        .agg(F.sum("all").alias("longer"))
     )
     return vocabulary.where("open").join(prefixes, "word", "left").select(
         "word", "inside", "ends", F.coalesce("longer", F.lit(0)).alias("longer")
@@ -352,10 +352,10 @@ def train(sample: list[tuple[str, str, int]], langs: Languages) -> LinearChain:
     for q, a, _ in sample:
         for t in (q, a):
             inside.update(WORD.findall(plain(t).lower())[:-1])
-    for w, n in inside.items():
-        for k in range(1, len(w)):
-            prefix[w[:k]] += n
     ends = Counter(w[-1] for q, a, _ in sample for t in (q, a) if (w := WORD.findall(plain(t).lower())))
+    for w in set(inside) | {w for w, n in ends.items() if n >= 5}:
+        for k in range(1, len(w)):
+            prefix[w[:k]] += inside[w] + ends[w]
     look = lambda t: (inside[w], ends[w] or 1, prefix[w]) if (w := last_word(plain(t))) else None
     rows, tags = [], []
 
