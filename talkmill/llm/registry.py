@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkmill.llm import p1_talks, p2_defects, p3_splits, p4_leaks, p5_copies, p6_packing, p7_mixing, p8_quality
+from talkmill.llm import oracle, p1_talks, p2_defects, p3_splits, p4_leaks, p5_copies, p6_packing, p7_mixing, p8_quality
 
 
 def queries():
@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return oracle.SQL
