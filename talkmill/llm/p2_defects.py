@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talkmill.llm.crf import LinearChain, padded
+from talkmill.plans.lineage import cut
 from talkmill.sources.tables import table
 
 LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -471,6 +472,26 @@ def sampled(pairs: DataFrame) -> list[tuple[str, str, int]]:
     return [(r.question, r.answer, r.talk) for r in best.select("question", "answer", "talk").collect()]
 
 
+def with_endings(pairs: DataFrame, known: DataFrame, hot_share: int = 1000, salts: int = 4096) -> DataFrame:
+    """Adds (inside, ends, longer) of the last word; null where it can't matter.
+
+    Words that end more than 1/``hot_share`` of the open texts are fewer than ``hot_share`` and are
+    broadcast. One shuffle join serves the other words; rows that need nothing from it (closed
+    answers, hot words) get keys of their own, so that no task takes them all.
+    """
+    doubtful = known.where("longer >= 3 or inside >= 100")  # all other words cannot break off
+    total = known.agg(F.sum("ends").alias("total"))
+    hot = doubtful.join(F.broadcast(total), F.col("ends") * hot_share > F.col("total")).select(
+        F.col("word").alias("last"), F.struct("inside", "ends", "longer").alias("hot")
+    )
+    first = pairs.join(F.broadcast(hot), "last", "left")
+    apart = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("rec_id", "pos"), F.lit(salts)).cast("string"))
+    keyed = first.withColumn("word", F.when(F.col("last").isNull() | F.col("hot").isNotNull(), apart).otherwise(F.col("last")))
+    rest = doubtful.select("word", F.struct("inside", "ends", "longer").alias("cold"))
+    both = keyed.join(rest, "word", "left").withColumn("e", F.coalesce("hot", "cold"))
+    return both.select("tbl", "rec_id", "pos", "question", "answer", "talk", "e.inside", "e.ends", "e.longer")
+
+
 def p2_tagged(spark: SparkSession, folder: str) -> DataFrame:
     """(tbl, rec_id, pos, defect, n_clauses): every answer; defect null for sound ones."""
     counts = language_counts(spark, folder).astype(np.float32)
@@ -478,10 +499,7 @@ def p2_tagged(spark: SparkSession, folder: str) -> DataFrame:
     pairs = answers(spark, folder, counts)
     sample = sampled(pairs)
     field = train(sample, langs) if sample else LinearChain(len(LABELS), WIDTH)
-    known = endings(spark, folder)
-    # Only words that may matter: all others cannot break off and need no row.
-    doubtful = known.where("longer >= 3 or inside >= 100")
-    joined = pairs.join(doubtful, pairs["last"] == doubtful["word"], "left").drop("word")
+    joined = with_endings(pairs, cut(endings(spark, folder)))
 
     def tag(batches):
         model = Languages(counts)
