@@ -72,13 +72,3 @@ def copies_with_first(rows: DataFrame, key: str, ident: str, hot_share: int = 10
         .where("n_copies > 1")
     )
     return hot_rows.join(F.broadcast(hot_summary), key).unionByName(cold_rows.join(cold_summary, key))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """``df`` over all cores where its scan has fewer parts than there are cores (one small file); else as it is.
-
-    A table of many files is never shuffled by this. ``key`` must be fixed before, so that a task run
-    again makes the same rows.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
