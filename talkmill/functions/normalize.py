@@ -20,16 +20,24 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(convert, T.StringType())(text)).otherwise(text)
 
 
-def tidy(text: Column, links: bool = True) -> Column:
-    """All steps after NFKC: quotes and dashes, links, speaker prefix, contractions, spacing, repeated marks."""
+def tidy(text: Column, links: bool = True, wide: bool = False) -> Column:
+    """All steps after NFKC: quotes and dashes, links, speaker prefix, contractions, spacing, repeated marks.
+
+    ``wide``: white space, word characters and word edges as Python's ``re`` has them in all scripts;
+    else those of ASCII, as in the SQL.
+    """
+    if wide:
+        space, solid, word, edge = SPACES, SPACES.replace("[", "[^", 1), r"\p{L}\p{N}_", r"(?:(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_]))"
+    else:
+        space, solid, word, edge = r"\s", r"\S", r"\w", r"\b"
     for a, b in QUOTES.items():
         text = F.replace(text, F.lit(a), F.lit(b))
     if links:
-        text = F.regexp_replace(text, r"https?://\S+|www\.\S+", "<link>")
-        text = F.regexp_replace(text, r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "<email>")
-    text = F.regexp_replace(text, r"(?i)^\s*(?:user|assistant|human|ai|bot|a|b)\s*[:>]\s*", "")
-    text = F.regexp_replace(text, r"(?i)\b(\w+)\s+'\s*(s|t|re|ve|ll|d|m)\b", "$1'$2")
-    text = F.regexp_replace(text, r"\s+([,.!?;:%])", "$1")
+        text = F.regexp_replace(text, rf"https?://{solid}+|www\.{solid}+", "<link>")
+        text = F.regexp_replace(text, rf"{edge}[{word}.+-]+@[{word}-]+\.[{word}.]+{edge}", "<email>")
+    text = F.regexp_replace(text, rf"(?i)^{space}*(?:user|assistant|human|ai|bot|a|b){space}*[:>]{space}*", "")
+    text = F.regexp_replace(text, rf"(?i){edge}([{word}]+){space}+'{space}*(s|t|re|ve|ll|d|m){edge}", "$1'$2")
+    text = F.regexp_replace(text, rf"{space}+([,.!?;:%])", "$1")
     for mark in ("!", "?", ".", ","):
         text = F.regexp_replace(text, rf"[{mark}]{{4,}}", mark * 3)
     text = F.regexp_replace(text, r"\n{2,}", "\n")
@@ -38,7 +46,7 @@ def tidy(text: Column, links: bool = True) -> Column:
 
 
 def normalize(text: Column, links: bool = True) -> Column:
-    return tidy(nfkc(text), links)
+    return tidy(nfkc(text), links, wide=True)
 
 
 def surface(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from talkmill.functions import lexicons as lex
 from talkmill.functions.metrics import wilson, words
-from talkmill.functions.normalize import surface, tidy
+from talkmill.functions.normalize import normalize, surface, tidy
 from talkmill.operators import cleaning, conversations as conv, leakage, selection
 from talkmill.plans.lineage import cut
 from talkmill.sources.tables import table
@@ -218,6 +218,7 @@ from latent_specs group by grouping sets ((skill), (setting), (skill, setting),
 
 
 def tidy_texts(spark, d):
+    """The part of ``normalized_texts`` that its SQL follows: no NFKC, ``head`` is the first line's surface form alone."""
     rows = table(spark, d, "documents").where("text is not null").select("doc_id", tidy(F.col("text")).alias("t"), surface(F.substring_index("text", "\n", 1)).alias("head"))
     return rows.select("doc_id", F.length("t").cast("bigint").alias("n"), F.sha2("t", 256).alias("digest"), F.contains("t", F.lit("<link>")).alias("link"), F.contains("t", F.lit("<email>")).alias("email"), F.sha2("head", 256).alias("head"))
 
@@ -237,6 +238,15 @@ TIDY_TEXTS = f"""with t as (select doc_id, {_tidy_sql("text")} as t, trim(regexp
 select doc_id, length(t) as n, sha256(t) as digest, contains(t, '<link>') as link, contains(t, '<email>') as email, sha256(head) as head from t"""
 
 
+def normalized_texts(spark, d):
+    """Whole texts in normalized and in surface form. No SQL: DuckDB has no NFKC; tested against a loop."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", normalize(F.col("text")).alias("t"), surface(F.col("text")).alias("s"))
+    return rows.select(
+        "doc_id", F.length("t").cast("bigint").alias("n"), F.sha2("t", 256).alias("digest"), F.contains("t", F.lit("<link>")).alias("link"),
+        F.contains("t", F.lit("<email>")).alias("email"), F.length("s").cast("bigint").alias("n_surface"), F.sha2("s", 256).alias("surface"),
+    )
+
+
 def source_sets(spark, d):
     """Set operations on sources: targeted and present, targeted only, present only."""
     have = table(spark, d, "documents").where("source is not null").select("source").distinct()
@@ -279,6 +289,6 @@ QUERIES = {
     "corpus_stats": (corpus_stats, CORPUS_STATS), "reject_reasons": (reject_reasons, REJECT_REASONS), "duplicates": (duplicates, DUPLICATES),
     "family_parts": (family_parts, FAMILY_PARTS), "stratified_val": (stratified_val, STRATIFIED_VAL), "leakage_flagged": (leakage_flagged, LEAKAGE_FLAGGED),
     "leakage_rates": (leakage_rates, LEAKAGE_RATES), "best_candidates": (best_candidates, BEST_CANDIDATES), "rejection_outcomes": (rejection_outcomes, None),
-    "token_lift": (token_lift, TOKEN_LIFT), "rollups": (rollups, ROLLUPS), "tidy_texts": (tidy_texts, TIDY_TEXTS), "source_sets": (source_sets, SOURCE_SETS),
+    "token_lift": (token_lift, TOKEN_LIFT), "rollups": (rollups, ROLLUPS), "tidy_texts": (tidy_texts, TIDY_TEXTS), "normalized_texts": (normalized_texts, None), "source_sets": (source_sets, SOURCE_SETS),
     "line_fields": (line_fields, LINE_FIELDS), "sample_every": (sample_every, SAMPLE_EVERY),
 }

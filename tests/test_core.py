@@ -1,6 +1,8 @@
 """Core operators against literal loops and the fixtures of the survey."""
 
+import hashlib
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +85,34 @@ def test_normalize(spark):
     assert [r.j for r in got] == ['{"a": "}", "b": {"c": 1}}', None]
 
 
+def normalized(text):
+    """A literal loop over the reference's steps."""
+    text = unicodedata.normalize("NFKC", text)
+    for a, b in normalize.QUOTES.items():
+        text = text.replace(a, b)
+    for pattern, new in [
+        (r"https?://\S+|www\.\S+", "<link>"), (r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", "<email>"), (r"(?i)^\s*(?:user|assistant|human|ai|bot|a|b)\s*[:>]\s*", ""),
+        (r"(?i)\b(\w+)\s+'\s*(s|t|re|ve|ll|d|m)\b", r"\1'\2"), (r"\s+([,.!?;:%])", r"\1"), (r"([!?.,])\1{3,}", r"\1\1\1"), (r"\n{2,}", "\n"), (r"[ \t\xa0]+", " "),
+    ]:
+        text = re.sub(pattern, new, text)
+    return text.strip()
+
+
+def test_normalized_texts_reads_the_whole_text(spark, tmp_path):
+    from talkmill import catalog
+
+    texts = ["one\ntwo  lines\n\n\nthree", "one\nother lines", "ﬁne ½ ｈｅｙ…", "été 's  rain\u2028!", "café 's", "é@ü.de www.ä.x\u2028y", "User: ok\nBot: a.b@c.de", "", " \n", "\x85hm ,\u2003so", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n, r.digest, r.link, r.email, r.n_surface, r.surface) for r in catalog.queries()["normalized_texts"](spark, str(tmp_path)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = {}
+    for k, t in enumerate(texts):
+        if t is not None:
+            n, s = normalized(t), re.sub(r"\s+", " ", re.sub(r"[^a-z0-9' ]+", " ", t.lower())).strip()
+            want[k] = (len(n), sha(n), "<link>" in n, "<email>" in n, len(s), sha(s))
+    assert got == want and got[0][5] != got[1][5]
+
+
 def test_reply_facts(spark):
     rows = [("a", 0, "user", "what a day"), ("a", 1, "assistant", "i i think think so"), ("a", 2, "user", "ok then my friend"), ("a", 3, "assistant", "ok then my friend"),
             ("a", 4, "user", "x"), ("a", 5, "assistant", "ok then my friend"), ("b", 0, "user", None), ("b", 1, "assistant", "")]
