@@ -1,11 +1,11 @@
 """Problem 8: statistics of each text and what kind of text it is.
 
-A document longer than ``CHUNK`` characters is split into chunks, after a line end or
-white space where there is one, and the chunks are spread over the cluster. Every
-statistic is an associative count; a chunk knows the character before it, so a word or a
-line that a cut runs through is counted where it starts and nowhere else (boundary-state
-correction). Chunk counts merge through a two-level tree (chunk group, document). Shorter
-documents are one chunk and need no shuffle. Ratios and rules follow from the sums.
+A document longer than ``CHUNK`` characters is split into chunks, and the chunks are spread
+over the cluster. Every cut is after a newline, so a chunk holds whole lines, and words,
+tokens and lines are all judged whole; a line longer than ``CHUNK`` is a chunk of its own.
+Every statistic is an associative count, the same sum whatever the chunks. Chunk counts
+merge through a two-level tree (chunk group, document). Shorter documents are one chunk
+and need no shuffle. Ratios and rules follow from the sums.
 
 Everything is JVM expressions: regular-expression counts, and one fold over the lines
 that gives each line's characters to one of four shapes (row of cells, log line, item,
@@ -31,7 +31,7 @@ CHUNK = 16_384
 #: Words kept to tell how many distinct ones a text has: exact below this number.
 KEEP = 32
 
-WORD = r"\p{L}+(?:['’]\p{L}+)*"
+WORD = r"\p{L}+(?:['’]\p{L}+)*+"
 BULLET = r"^\s*(?:[-*•+·–—>]|\d{1,3}[.)]|\p{L}[.)]|\[[ xX]?\])\s+"
 SENTENCE_END = r"[.!?…。？！](?=[\"'”»)\]]*(?:\s|$))"
 # Marks that a line must contain before its pattern is tried; most lines contain none.
@@ -56,23 +56,15 @@ def common_words(spark: SparkSession, folder: str) -> list[str]:
 
 
 def chunked(documents: DataFrame) -> DataFrame:
-    """(row_no, doc_id, chunk_no, text, prev): one row per chunk of the documents above ``CHUNK``."""
-    parts = F.regexp_extract_all(
-        "text", F.lit(rf"(?s).{{1,{CHUNK}}}(?:\n|\z)|.{{1,{CHUNK}}}\s|.{{1,{CHUNK}}}"), F.lit(0)
-    )
-    with_prev = F.transform(
-        "parts", lambda p, i: F.struct(p.alias("text"), F.when(i > 0, F.right(F.get("parts", i - 1), F.lit(1))).alias("prev"))
-    )
-    rows = documents.select("row_no", "doc_id", parts.alias("parts"))
-    each = rows.select("row_no", "doc_id", F.posexplode(with_prev).alias("chunk_no", "c"))
-    return each.select("row_no", "doc_id", "chunk_no", "c.text", "c.prev")
+    """(row_no, doc_id, chunk_no, text): one row per chunk of the documents above ``CHUNK``, cut after newlines only."""
+    parts = F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{CHUNK}}}(?:\n|\z)|[^\n]+(?:\n|\z)|\n"), F.lit(0))
+    return documents.select("row_no", "doc_id", F.posexplode(parts).alias("chunk_no", "text"))
 
 
 def counts(rows: DataFrame, common: list[str]) -> DataFrame:
     """Adds the associative counts of ``text`` (see ``SUMS``) and ``kept``, its smallest word hashes."""
     text = F.coalesce("text", F.lit(""))
     count = lambda pattern, of=text: F.regexp_count(of, F.lit(pattern)).cast("bigint")
-    inside = lambda kind: F.coalesce(F.col("prev").rlike(kind) & text.rlike("^" + kind), F.lit(False)).cast("bigint")
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
     lines = F.split(text, LINE_END)
     staged = rows.withColumn("words", words).withColumn("lines", lines)
@@ -80,26 +72,25 @@ def counts(rows: DataFrame, common: list[str]) -> DataFrame:
     sum_of = lambda shape: F.aggregate(
         "shapes", F.lit(0).cast("bigint"), lambda s, x: s + F.when(x["shape"] == shape, x["n"]).otherwise(0)
     )
-    started = F.size(F.filter("lines", lambda x: x.rlike(r"\S"))).cast("bigint")
     return shaped.select(
-        *[c for c in rows.columns if c not in ("text", "prev")],
+        *[c for c in rows.columns if c != "text"],
         F.length(text).cast("bigint").alias("chars"),
         F.aggregate("shapes", F.lit(0).cast("bigint"), lambda s, x: s + x["n"]).alias("solid"),
         F.aggregate("words", F.lit(0).cast("bigint"), lambda s, w: s + F.length(w)).alias("letters"),
         count(r"(?i)[aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿı]").alias("vowels"),
         count(r"\p{N}").alias("digits"),
         count(r"[^\p{L}\p{N}\s.,!?;:'’\"“”«»()¿¡…\-–—]").alias("symbols"),
-        F.when(text.rlike("[ÃÂâð�]"), count(MOJIBAKE)).otherwise(F.lit(0)).cast("bigint").alias("mojibake"),
-        (F.size("words") - inside(r"\p{L}")).alias("words"),
+        F.when(text.rlike("[ÃÂâðŸ�]"), count(MOJIBAKE)).otherwise(F.lit(0)).cast("bigint").alias("mojibake"),
+        F.size("words").cast("bigint").alias("words"),
         F.size(F.filter("words", lambda w: w.isin(*common))).cast("bigint").alias("common"),
-        (count(r"\S+") - inside(r"\S")).alias("tokens"),
+        count(r"\S+").alias("tokens"),
         count(r"(?<!\S)[0-9a-fA-F]{2}(?!\S)").alias("hex_pairs"),
         F.when(F.contains(text, F.lit("%")), count(r"%[0-9a-fA-F]{2}")).otherwise(F.lit(0)).cast("bigint").alias("escapes"),
         F.aggregate(
             F.regexp_extract_all(text, F.lit(r"\S{30,}"), F.lit(0)), F.lit(0).cast("bigint"), lambda s, w: s + F.length(w)
         ).alias("long_chars"),
         count(SENTENCE_END).alias("ends"),
-        (started - F.coalesce((~F.col("prev").rlike(LINE_END) & text.rlike(r"^[^\S\n]*\S")).cast("bigint"), F.lit(0))).alias("lines"),
+        F.size(F.filter("lines", lambda x: x.rlike(r"\S"))).cast("bigint").alias("lines"),
         F.size(F.filter("lines", lambda x: x.rlike(r"[.!?…][\"'”»)]*\s*$"))).cast("bigint").alias("closed_lines"),
         F.size(F.filter("lines", lambda x: x.rlike(BULLET))).cast("bigint").alias("bullet_lines"),
         *[sum_of(s).alias(f"{s}_chars") for s in ("table", "log", "item", "text")],
@@ -151,7 +142,7 @@ def text_counts(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text").withColumn("row_no", F.monotonically_increasing_id())
     common = common_words(spark, folder)
     long = F.coalesce(F.length("text") > CHUNK, F.lit(False))
-    small = counts(documents.where(~long).withColumn("prev", F.lit(None).cast("string")), common)
+    small = counts(documents.where(~long), common)
     spread = chunked(documents.where(long)).repartition("row_no", "chunk_no")
     large = merged(counts(spread, common))
     return small.select("doc_id", *SUMS, "kept").unionByName(large.select("doc_id", *SUMS, "kept"))

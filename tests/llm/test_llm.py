@@ -263,6 +263,28 @@ def test_p8(spark, folder, monkeypatch):
     assert row[1] == len(prose * 40) and row[2] == len(re.findall(r"[A-Za-z]+", prose * 40))
 
 
+def test_p8_sums_do_not_depend_on_chunks(spark, folder, monkeypatch):
+    """Every sum and the word hashes, with lines and tokens longer than a chunk; closed and bullet lines against a loop."""
+    prose = "it wasn't a quiet day and we talked about the rain. nobody knew why, but it is fine; "
+    texts = [
+        prose * 6 + "done.", "- " + prose * 5, "\n" + prose * 5 + "\n\n- soup\n- lamp.\n", " " * 300 + "late start.\n" + "x" * 250 + "'" + "y" * 120 + ". end",
+        "a=1 b=2 " + prose * 3 + "\r" + prose * 2 + "\r\n" + prose, "| soup " * 40 + "\n" + "soup,lamp," * 30, "Ÿ€ Ã© " * 40 + "\n" + "Ÿ€" * 90 + "Ã©" * 90, "%41%42" * 60 + " " + "ab " * 90 + "0f" * 70,
+        "anna, bus, cake, tent, " * 12, ("no end here\n" + prose * 2 + "done!\n") * 5, "one line after another " * 9 + "\u2028" + "- next " * 30,
+    ]
+    d = folder(documents=[(k, t, None, None, "x") for k, t in enumerate(texts)])
+    read = lambda: {r.doc_id: r.asDict() for r in p8_quality.text_counts(spark, d).collect()}
+    stats = lambda: {r.doc_id: r.asDict() for r in p8_quality.p8_stats(spark, d).collect()}
+    whole, figures = read(), stats()
+    for k, t in enumerate(texts):
+        lines = t.splitlines()
+        assert whole[k]["lines"] == sum(bool(x.strip()) for x in lines)
+        assert whole[k]["closed_lines"] == sum(bool(re.search(r"[.!?…][\"'”»)]*\s*$", x)) for x in lines)
+        assert whole[k]["bullet_lines"] == sum(x.startswith("- ") for x in lines)
+    for chunk in (41, 97, 200):
+        monkeypatch.setattr(p8_quality, "CHUNK", chunk)
+        assert read() == whole and stats() == figures
+
+
 def test_crf_learns_order():
     rng = np.random.default_rng(0)
     seqs = [rng.integers(0, 2, rng.integers(2, 6)) for _ in range(300)]
