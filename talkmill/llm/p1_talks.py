@@ -191,11 +191,13 @@ def p1_sessions(spark: SparkSession, folder: str, share: float = 0.999) -> DataF
     The limit is the gap that ``share`` of the gaps inside known talks stay within.
     ``reciprocal`` tells whether user and assistant both speak with visible text and
     the user isn't left without a last reply; sessions that fail it are the ones to drop.
-    Rows without user_id or sent_at are in no session.
+    A message delivered again counts once, as ``delivered`` keeps it; rows without conv_id
+    can't be told to be repeats and each count. Rows without user_id or sent_at are in no session.
     """
-    rows = table(spark, folder, "message_rows").select(
-        "msg_id", "user_id", "conv_id", "sent_at", role_of(F.col("role")).alias("role"), visible(F.col("content")).alias("visible")
-    )
+    messages = table(spark, folder, "message_rows")
+    columns = ("msg_id", "user_id", "conv_id", "sent_at", "role", "visible")
+    loose = messages.where("conv_id is null").withColumn("role", role_of(F.col("role"))).withColumn("visible", visible(F.col("content")))
+    rows = delivered(messages, "user_id").select(*columns).unionByName(loose.select(*columns))
     limit = calibrated_gap(gap_histogram(rows, "conv_id", F.col("sent_at")), share)
     numbered = gap_sessions(rows, "user_id", "sent_at", "msg_id", limit)
     said = F.when(F.col("visible"), F.col("role"))

@@ -8,24 +8,32 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 def gap_histogram(rows: DataFrame, key: str, at: Column) -> DataFrame:
     """(gap_s, n): whole seconds between neighbouring rows of a key, counted.
 
-    Neighbours are sought within (key, day), a small group even for a hot key; the
-    few gaps across midnight are left out, so that the histogram needs no second pass.
+    Neighbours are sought within (key, day), a small group even for a hot key; the gaps
+    between a key's neighbouring days come from the days' first and last times.
     """
-    timed = rows.select(F.col(key), at.alias("__at")).where(F.col(key).isNotNull() & F.col("__at").isNotNull())
-    w = Window.partitionBy(key, F.to_date("__at")).orderBy("__at")
-    gap = F.floor((micros(F.col("__at")) - micros(F.lag("__at").over(w))) / F.lit(1_000_000))
-    return timed.select(gap.cast("bigint").alias("gap_s")).where("gap_s is not null").groupBy("gap_s").count().withColumnRenamed("count", "n")
+    timed = rows.select(F.col(key), at.alias("__at")).where(F.col(key).isNotNull() & F.col("__at").isNotNull()).withColumn("__day", F.to_date("__at"))
+    seconds = lambda later, earlier: F.floor((micros(later) - micros(earlier)) / F.lit(1_000_000)).cast("bigint").alias("gap_s")
+    w = Window.partitionBy(key, "__day").orderBy("__at")
+    inside = timed.select(seconds(F.col("__at"), F.lag("__at").over(w)))
+    days = timed.groupBy(key, "__day").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+    between = days.select(seconds(F.col("__first"), F.lag("__last").over(Window.partitionBy(key).orderBy("__day"))))
+    gaps = inside.unionByName(between).where("gap_s is not null")
+    return gaps.groupBy("gap_s").count().withColumnRenamed("count", "n")
 
 
 def calibrated_gap(histogram: DataFrame, share: float) -> DataFrame:
     """One row (limit_s): the smallest gap that at least ``share`` of all gaps don't exceed.
 
-    The running sum is over distinct whole-second gaps of at most one day: no more
-    than 86,401 rows however large the data. No gaps at all give a null limit.
+    The running sum is in two levels: over the gaps' whole days, as many rows as the longest
+    gap has days, and over the distinct whole seconds of one such day, at most 86,400 rows.
+    No gaps at all give a null limit.
     """
-    run = Window.orderBy("gap_s").rowsBetween(Window.unboundedPreceding, 0)
+    upto = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, 0)
+    placed = histogram.withColumn("days", F.floor(F.col("gap_s") / 86_400))
+    by_days = placed.groupBy("days").agg(F.sum("n").alias("in_days"))
+    before = by_days.select("days", (F.sum("in_days").over(upto("days")) - F.col("in_days")).alias("before"))
     total = histogram.agg(F.sum("n").alias("total"))
-    cum = histogram.select("gap_s", F.sum("n").over(run).alias("upto"))
+    cum = placed.join(before, "days").select("gap_s", (F.col("before") + F.sum("n").over(upto("days", "gap_s"))).alias("upto"))
     return (
         cum.join(F.broadcast(total), F.col("upto") >= F.ceil(F.col("total") * F.lit(share)), "inner")
         .agg(F.min("gap_s").cast("bigint").alias("limit_s"))

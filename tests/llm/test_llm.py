@@ -86,6 +86,43 @@ def test_p1(spark, folder):
     assert talks["t1"] == {0: ("user", "hi more"), 1: ("assistant", "yo")} and set(talks) == {"ok", "late", "timed", "t1", "t7"}
 
 
+def test_p1_sessions(spark, folder):
+    """Gaps across midnight move the limit, repeated deliveries are neither gaps nor messages; against a loop."""
+    t0 = dt.datetime(2030, 1, 1, 23, 0)
+    at = lambda s: t0 + dt.timedelta(seconds=s)
+    rows = []
+    for k in range(6):  # talks of one user, a pause over midnight in each, three days apart
+        for turn, s in enumerate((0, 60, 120, 7200 + k, 7260 + k)):
+            rows.append((len(rows), f"c{k}", "u", turn, "user" if turn % 2 == 0 else "bot", "hi", None, at(k * 259_200 + s), at(k * 259_200 + s), "x"))
+        rows.append((len(rows), f"c{k}", "u", 4, "bot", "hi", None, at(k * 259_200 + 7260 + k), at(k * 259_200 + 9000), "x"))  # delivered again with another role
+    rows += [(100 + i, None, "v", None, role, "hi", None, at(s), at(s), "x") for i, (role, s) in enumerate([("user", 0), ("bot", 9), ("user", 90_000)])]
+    rows += [(200, "c9", None, 0, "user", "hi", None, at(0), at(0), "x"), (201, "c9", "w", None, "user", "hi", None, None, at(0), "x")]
+    d = folder(message_rows=rows)
+    latest = {}
+    for r in rows:
+        key = (r[1], r[3], r[7] if r[3] is None else None, r[0] if r[1] is None else None)
+        if key not in latest or (r[8], r[0]) > (latest[key][8], latest[key][0]):
+            latest[key] = r
+    kept = [r for r in latest.values() if r[7]]
+    talks = {}
+    for r in kept:
+        talks.setdefault(r[1], []).append(r[7])
+    gaps = sorted(int((b - a).total_seconds()) for c, ts in talks.items() if c for ts in [sorted(ts)] for a, b in zip(ts, ts[1:]))
+    for share in (0.5, 0.8, 0.999):
+        limit = next(g for g in gaps if sum(x <= g for x in gaps) >= np.ceil(len(gaps) * share))
+        want = []
+        for user in ("u", "v"):
+            session = []
+            for r in sorted((r for r in kept if r[2] == user), key=lambda r: (r[7], r[0])) + [None]:
+                if session and (r is None or (r[7] - session[-1][7]).total_seconds() > limit):
+                    said = ["assistant" if x[4] == "bot" else "user" for x in session]
+                    want.append((user, session[0][7], session[-1][7], len(session), set(said) == {"user", "assistant"} and said[-1] == "assistant"))
+                    session = []
+                session.append(r)
+        got = p1_talks.p1_sessions(spark, d, share).select("user_id", "first_at", "last_at", "n_messages", "reciprocal").collect()
+        assert sorted(map(tuple, got)) == sorted(want), share
+
+
 def test_p2(spark, folder):
     clean = ["i'd bring the apricot jam, nobody says no to plum cake", "go on then, what did your aunt say?", "you said Anna had it at noon, so ask there", "sounds cosy. i'd walk past the market and clear my head"]
     ask = ["the lantern broke on Monday and my uncle just laughed", "is it odd that i keep soup next to the lamp at work?", "we had hail in the valley so the race got cancelled"]
