@@ -20,6 +20,16 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.pandas_udf(convert, T.StringType())(text)).otherwise(text)
 
 
+def nfkc_each(texts: Column) -> Column:
+    """``nfkc`` of each text of an array; arrays of ASCII alone stay in the JVM."""
+
+    def convert(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: [t if t is None else unicodedata.normalize("NFKC", t) for t in a], na_action="ignore")
+
+    wide = F.exists(texts, lambda t: F.coalesce(t.rlike(r"[^\x00-\x7F]"), F.lit(False)))
+    return F.when(wide, F.pandas_udf(convert, T.ArrayType(T.StringType()))(texts)).otherwise(texts)
+
+
 def tidy(text: Column, links: bool = True, wide: bool = False) -> Column:
     """All steps after NFKC: quotes and dashes, links, speaker prefix, contractions, spacing, repeated marks.
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from talkmill.functions import lexicons as lex
 from talkmill.functions.metrics import contains_any, ngrams, ratio, tokens, words
-from talkmill.operators.conversations import alternates, body, spoken
+from talkmill.functions.normalize import nfkc_each, tidy
+from talkmill.operators.conversations import alternates, body, merge_runs, spoken
 from talkmill.plans.lineage import cut
 
 
@@ -103,12 +104,12 @@ def weight(cfg: FilterConfig = FilterConfig()) -> Column:
     return F.round(F.when(all_ > 0, 0.35 + 0.65 * ratio(band, all_)).otherwise(F.lit(1.0)) * F.when(F.col("reason").isNotNull(), 0.1).otherwise(1.0), 4)
 
 
-def exact_key(text: Column) -> Column:
-    """Lower case, runs of other than word characters as one space, as SHA-256."""
-    return F.sha2(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}_]+", " ")), 256)
+def exact_key(text: Column, marks: str = r"\p{M}") -> Column:
+    """Lower case, runs of other than word characters as one space, as SHA-256; without ``marks`` as Python's ``re`` has it."""
+    return F.sha2(F.trim(F.regexp_replace(F.lower(text), rf"[^\p{{L}}{marks}\p{{N}}_]+", " ")), 256)
 
 
-def deduplicate(rows: DataFrame, text: Column, order: str, n: int = 8) -> DataFrame:
+def deduplicate(rows: DataFrame, text: Column, order: str, n: int = 8, marks: str = r"\p{M}") -> DataFrame:
     """Adds ``duplicate``: exact_duplicate, near_duplicate or null.
 
     Exact: an equal key stands earlier. Near: more than three distinct ``n``-word shingles, all of
@@ -116,7 +117,7 @@ def deduplicate(rows: DataFrame, text: Column, order: str, n: int = 8) -> DataFr
     before the row. ``order`` must be unique. The first place of a key or shingle is an aggregate
     (combined before the shuffle) joined back, so that a key of a third of all rows is no one task.
     """
-    keyed = cut(rows.select(order, text.alias("__text")).withColumn("__key", exact_key(F.col("__text"))).withColumn("__words", words(F.col("__text"))).drop("__text"))
+    keyed = cut(rows.select(order, text.alias("__text")).withColumn("__key", exact_key(F.col("__text"), marks)).withColumn("__words", words(F.col("__text"))).drop("__text"))
     first = keyed.groupBy("__key").agg(F.min(order).alias("__first"))
     exact = keyed.join(first.where("__first is not null"), "__key").select(order, (F.col("__first") < F.col(order)).alias("__exact"))
     grams = F.when(F.size("__words") < n, F.filter(F.array(F.array_join("__words", " ")), lambda s: s != "")).otherwise(ngrams("__words", n))
@@ -133,12 +134,21 @@ def deduplicate(rows: DataFrame, text: Column, order: str, n: int = 8) -> DataFr
     return joined.withColumn("duplicate", label).drop("__exact", "__near")
 
 
+def prepared(conversations: DataFrame) -> DataFrame:
+    """Normalized messages without empty ones, same-role runs merged; null messages stay null."""
+    texts = F.transform("messages", lambda m: F.coalesce(m["content"], F.lit("")))
+    staged = conversations.withColumn("__texts", nfkc_each(texts))
+    normal = F.transform(F.col("__texts"), lambda t: tidy(t, wide=True))
+    zipped = F.zip_with("messages", normal, lambda m, t: F.struct(m["role"].alias("role"), t.alias("content")))
+    return staged.withColumn("__messages", F.filter(zipped, lambda m: m["content"] != "")).withColumn("messages", merge_runs(F.col("__messages"))).drop("__texts", "__messages")
+
+
 def clean(conversations: DataFrame, order: str, cfg: FilterConfig = FilterConfig(), extra: list[Column] = ()) -> DataFrame:
-    """Adds ``reason`` (null: kept) and ``weight``: rules, then duplicates among the talks that pass them."""
-    judged = cut(with_parts(conversations).withColumn("reason", reject_reason(cfg, extra)))
+    """Adds ``reason`` (null: kept) and ``weight``: messages prepared, rules, then duplicates among the talks that pass them."""
+    judged = cut(with_parts(prepared(conversations)).withColumn("reason", reject_reason(cfg, extra)))
     judged = judged.withColumn("weight", weight(cfg) if cfg.downweight else F.lit(1.0))
     live = judged if cfg.downweight else judged.where("reason is null")
-    marked = deduplicate(live.select(order, "messages"), body(), order).select(order, "duplicate")
+    marked = deduplicate(live.select(order, "messages"), body(), order, marks="").select(order, "duplicate")
     keep = judged.drop("spoken", "full", "said", "sizes")
     return keep.join(marked, order, "left").withColumn("reason", F.coalesce("duplicate", "reason")).drop("duplicate")
 

@@ -62,6 +62,22 @@ def merge_consecutive(rows: DataFrame) -> DataFrame:
     ).drop("__island")
 
 
+def merge_runs(messages: Column) -> Column:
+    """``merge_consecutive`` inside an array of messages."""
+    return F.aggregate(
+        messages,
+        F.array().cast("array<struct<role:string,content:string>>"),
+        lambda out, m: _appended(out, m, F.get(out, F.size(out) - 1)),
+    )
+
+
+def _appended(out: Column, m: Column, last: Column) -> Column:
+    same = (F.size(out) > 0) & last["role"].eqNullSafe(m["role"]) & (F.coalesce(m["role"], F.lit("")) != "system")
+    sep = F.when(last["content"].rlike(r"[.!?,]\z"), F.lit(" ")).otherwise(F.lit(". "))
+    merged = F.struct(m["role"].alias("role"), F.concat(last["content"], sep, m["content"]).alias("content"))
+    return F.when(same, F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(merged))).otherwise(F.concat(out, F.array(F.struct(m["role"].alias("role"), m["content"].alias("content")))))
+
+
 def truncate(limit: int = 6) -> Column:
     """The first messages, never ending on the user's."""
     return F.expr(

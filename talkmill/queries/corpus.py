@@ -47,7 +47,17 @@ from t left join g on t.source is not distinct from g.source
 """
 
 
+def cleaned_talks(spark, d):
+    """The reference's whole preparation: normalize, drop empty turns, merge runs, rules, duplicates among talks that pass.
+
+    No SQL: DuckDB has no NFKC; tested against a loop. Talks come in the order of their ids.
+    """
+    kept = cleaning.clean(table(spark, d, "example_conversations").select("id", "source", "messages"), "id")
+    return kept.select("id", "source", "reason", F.size("messages").cast("bigint").alias("n_messages"), F.sha2(conv.body(), 256).alias("digest"))
+
+
 def reject_reasons(spark, d):
+    """The rules on raw messages, as the SQL has them; ``cleaned_talks`` normalizes and merges first."""
     parts = cleaning.with_parts(table(spark, d, "example_conversations"))
     strict = parts.select("source", cleaning.reject_reason().alias("reason"), cleaning.reject_reason(cleaning.FilterConfig().permissive()).alias("loose"))
     return strict.groupBy("source", "reason", "loose").agg(F.count(F.lit(1)).alias("n"))
@@ -81,6 +91,7 @@ select source, reason, loose, count(*) as n from r group by all
 
 
 def duplicates(spark, d):
+    """Copies among all raw talks, as the SQL has them; ``cleaned_talks`` looks among normalized talks that pass the rules."""
     rows = table(spark, d, "example_conversations").select("id", "messages")
     return cleaning.deduplicate(rows, conv.body(), "id").where("duplicate is not null").select("id", "duplicate")
 
@@ -286,7 +297,7 @@ def sample_every(spark, d, step: int = 50):
 SAMPLE_EVERY = "with r as (select doc_id, lang, row_number() over (order by doc_id) - 1 as place from documents) select doc_id, lang, place from r where place % 50 = 0"
 
 QUERIES = {
-    "corpus_stats": (corpus_stats, CORPUS_STATS), "reject_reasons": (reject_reasons, REJECT_REASONS), "duplicates": (duplicates, DUPLICATES),
+    "corpus_stats": (corpus_stats, CORPUS_STATS), "cleaned_talks": (cleaned_talks, None), "reject_reasons": (reject_reasons, REJECT_REASONS), "duplicates": (duplicates, DUPLICATES),
     "family_parts": (family_parts, FAMILY_PARTS), "stratified_val": (stratified_val, STRATIFIED_VAL), "leakage_flagged": (leakage_flagged, LEAKAGE_FLAGGED),
     "leakage_rates": (leakage_rates, LEAKAGE_RATES), "best_candidates": (best_candidates, BEST_CANDIDATES), "rejection_outcomes": (rejection_outcomes, None),
     "token_lift": (token_lift, TOKEN_LIFT), "rollups": (rollups, ROLLUPS), "tidy_texts": (tidy_texts, TIDY_TEXTS), "normalized_texts": (normalized_texts, None), "source_sets": (source_sets, SOURCE_SETS),

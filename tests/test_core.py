@@ -241,3 +241,88 @@ def test_entry_without_llm(spark):
     from talkmill import catalog
 
     assert set(catalog.oracle_sql()) <= set(catalog.queries()) and len(catalog.queries()) > 40
+
+
+def cleaned(talks):
+    """A literal loop over the reference's preparation: (reason, messages) of each talk; lists as in ``lexicons``."""
+    from talkmill.functions import lexicons as lex
+
+    has = lambda text, needles: any(n in text.lower() for n in needles)
+    emoji = lambda c: unicodedata.category(c) == "So" or 0x1F300 <= ord(c) <= 0x1FAFF
+
+    def reason(m):
+        m = [x for x in m if x[0] != "system"]
+        full, said = " ".join(t for _, t in m), " ".join(t for r, t in m if r == "assistant")
+        sizes = [(r, len(t.split())) for r, t in m]
+        replies = [n for r, n in sizes if r == "assistant"]
+        if len(m) < 2:
+            return "too_few_turns"
+        if len(m) > 40:
+            return "too_many_turns"
+        if not replies:
+            return "no_assistant_turn"
+        if sum(c.isalpha() or c.isspace() or c in ".,!?'" for c in full) / len(full) < 0.5:
+            return "low_alpha_ratio"
+        if sum(ord(c) > 127 and not emoji(c) for c in full) / len(full) > 0.05:
+            return "non_english"
+        for r, n in sizes:
+            if r == "assistant" and n > 45:
+                return "assistant_turn_too_long"
+            if n > 60:
+                return "turn_too_long"
+        if sum(replies) / len(replies) > 30:
+            return "assistant_too_verbose"
+        if has(said, lex.AI_ASSISTANT_PHRASES):
+            return "ai_assistant_style"
+        if re.search("|".join(lex.CODE_PATTERNS), full, re.M):
+            return "code"
+        if re.search("|".join(lex.MATH_PATTERNS), said.lower()):
+            return "math"
+        if has(full, lex.INSTRUCTION_MARKERS):
+            return "instruction_following"
+        if has(said, lex.FACTUAL_QA_MARKERS):
+            return "factual_qa"
+        return "list_formatting" if len(re.findall(r"(?m)^\s*(?:[-*•]|\d+[.)])\s+", full)) > 2 else None
+
+    exact, shingles, out = set(), set(), {}
+    for i, messages in talks:
+        m = []
+        for role, content in messages or []:
+            text = normalized(content or "")
+            if text and m and m[-1][0] == role and role != "system":
+                m[-1] = (role, m[-1][1] + (" " if m[-1][1].endswith((".", "!", "?", ",")) else ". ") + text)
+            elif text:
+                m.append((role, text))
+        why = reason(m)
+        if why is None:
+            body = "\n".join(f"{r}: {t}" for r, t in m)
+            key, w = re.sub(r"\W+", " ", body.lower()).strip(), re.findall("[a-z']+", body.lower())
+            grams = ({" ".join(w)} if w else set()) if len(w) < 8 else {" ".join(w[k : k + 8]) for k in range(len(w) - 7)}
+            if key in exact:
+                why = "exact_duplicate"
+            elif len(grams) > 3 and grams <= shingles:
+                why = "near_duplicate"
+            else:
+                shingles |= grams
+            exact.add(key)
+        out[i] = (why, m)
+    return out
+
+
+def test_cleaned_talks_match_loop(spark, tmp_path):
+    from talkmill import catalog
+
+    a = ("hey, how was your long day at the lake?", "pretty good, went for a walk with my old friend Anna")
+    rows = [
+        talk("a0", a[0], "As an AI I cannot feel, but hello"), talk("a1", *a), talk("a2", *(t.upper().replace(",", "  ,") for t in a)),
+        ("b0", "s", [("user", "hey"), ("user", "you"), ("assistant", " \x85"), ("user", "there")]), ("b1", "s", [("user", "ok."), ("user", "you?"), ("assistant", "yes"), ("assistant", "ﬁne")]),
+        ("c0", "s", [("system", "x"), ("system", "y"), ("user", "„so“ … – ’ ’ ’ ’"), ("assistant", "ja „so“")]), talk("c1", "see https://x.y/def z", "User: mail a@b.c !"), talk("c2", "❤ hi there my very good old friend", "❤\ufe0f so nice to see you"), talk("c3", "❤\ufe0f hi there my very good old friend", "❤ so nice to see you"),
+        talk("d0", *a, "and what did she tell you then?", "As an AI I cannot feel"), talk("d1", "and what did she tell you then?", "nothing much to be honest with you"), ("e0", "s", None), ("e1", "s", []),
+        talk("f0", "é 's late", "word " * 46), talk("f1", "so", "a b " * 24), talk("f2", "hm", "été = 3"),
+    ]
+    spark.createDataFrame(rows, TALK).write.parquet(f"{tmp_path}/example_conversations.parquet")
+    got = {r.id: (r.reason, r.n_messages or 0, r.digest) for r in catalog.queries()["cleaned_talks"](spark, str(tmp_path)).collect()}
+    sha = lambda m: hashlib.sha256("\n".join(f"{r}: {t}" for r, t in m).encode()).hexdigest()
+    want = {i: (why, len(m), sha(m)) for i, (why, m) in cleaned([(r[0], r[2]) for r in rows]).items()}
+    assert {k: v for k, v in got.items() if k != "e0"} == {k: v for k, v in want.items() if k != "e0"} and got["e0"][0] == want["e0"][0]
+    assert got["a1"][0] is None and got["a2"][0] == "exact_duplicate" and got["b0"][0] == "too_few_turns" and got["b1"][0] is None and got["c3"][0] == "exact_duplicate"
