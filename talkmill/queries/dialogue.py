@@ -217,10 +217,21 @@ select id, turn, len(regexp_extract_all(text, '\\S+')) as n_words, contains(text
 
 
 def memory_slots(spark, d):
+    """The memory slots that SQL can follow; ``memory_slots_all`` has the job slot too."""
+    return _memory(spark, d, lex.MEMORY_SLOTS)
+
+
+def memory_slots_all(spark, d):
+    """All five memory slots. No SQL: the job pattern looks ahead; tested on a fixture."""
+    return _memory(spark, d, lex.MEMORY_SLOTS | {"job": lex.JOB})
+
+
+def _memory(spark, d, slots):
     """The last value of each memory slot of a talk and its confidence (.9 if restated, .75 if new)."""
     users = conversation_turns(spark, d).where("role = 'user' and content is not null")
-    found = F.array(*[F.struct(F.lit(k).alias("slot"), F.lower(F.trim(F.regexp_extract("content", p, 1))).alias("value")) for k, p in lex.MEMORY_SLOTS.items()])
+    found = F.array(*[F.struct(F.lit(k).alias("slot"), F.lower(F.trim(F.regexp_extract("content", p, 1))).alias("value")) for k, p in slots.items()])
     each = users.select("id", "turn", F.explode(found).alias("s")).select("id", "turn", "s.slot", "s.value").where("value <> ''")
+    each = each.where((F.col("slot") != "job") | ~F.split("value", r"\s").getItem(0).isin(*lex.NOT_JOBS))
     w = Window.partitionBy("id", "slot").orderBy("turn")
     conf = each.withColumn("confidence", F.when(F.lag("value").over(w) == F.col("value"), 0.9).otherwise(0.75))
     return longs(conf.groupBy("id", "slot").agg(F.max("turn").alias("turn"), F.max_by("value", "turn").alias("value"), F.max_by("confidence", "turn").alias("confidence")))
@@ -288,7 +299,7 @@ QUERIES = {
     "turn_rows": (turn_rows, TURN_ROWS), "merged_turns": (merged_turns, MERGED_TURNS), "turn_shape": (turn_shape, TURN_SHAPE), "with_chosen": (with_chosen, WITH_CHOSEN),
     "reply_facts": (reply_facts, REPLY_FACTS), "broken_counts": (broken_counts, BROKEN_COUNTS), "talk_metrics": (talk_metrics, TALK_METRICS),
     "clean_prefixes": (clean_prefixes, CLEAN_PREFIXES), "reply_overlap": (reply_overlap, REPLY_OVERLAP), "probe_results": (probe_results, PROBE_RESULTS),
-    "blind_pairs": (blind_pairs, BLIND_PAIRS), "turn_features": (turn_features, TURN_FEATURES), "memory_slots": (memory_slots, MEMORY_SLOTS),
+    "blind_pairs": (blind_pairs, BLIND_PAIRS), "turn_features": (turn_features, TURN_FEATURES), "memory_slots": (memory_slots, MEMORY_SLOTS), "memory_slots_all": (memory_slots_all, None),
     "context_windows": (context_windows, CONTEXT_WINDOWS), "question_runs": (question_runs, QUESTION_RUNS), "transcript_turns": (transcript_turns, None),
     "reply_lengths": (reply_lengths, REPLY_LENGTHS),
 }

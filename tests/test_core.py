@@ -326,3 +326,12 @@ def test_cleaned_talks_match_loop(spark, tmp_path):
     want = {i: (why, len(m), sha(m)) for i, (why, m) in cleaned([(r[0], r[2]) for r in rows]).items()}
     assert {k: v for k, v in got.items() if k != "e0"} == {k: v for k, v in want.items() if k != "e0"} and got["e0"][0] == want["e0"][0]
     assert got["a1"][0] is None and got["a2"][0] == "exact_duplicate" and got["b0"][0] == "too_few_turns" and got["b1"][0] is None and got["c3"][0] == "exact_duplicate"
+
+
+def test_memory_slots_all_has_jobs(spark, tmp_path):
+    from talkmill import catalog
+
+    rows = [talk("a", "I'm a nurse.", "ok", "i am an night owl, my dog is called rex", "ok", "i'm a nurse!"), talk("b", "i'm a bit tired", "ok", "am i a baker? i am a baker?")]
+    spark.createDataFrame(rows, TALK).write.parquet(f"{tmp_path}/example_conversations.parquet")
+    got = {(r.id, r.slot): (r.turn, r.value, r.confidence) for r in catalog.queries()["memory_slots_all"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "job"): (4, "nurse", 0.9), ("a", "pet_name"): (2, "rex", 0.75)}
