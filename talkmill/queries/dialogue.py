@@ -134,10 +134,20 @@ from a left join u1 using (id) left join u2 using (id) left join lp using (id)
 
 
 def clean_prefixes(spark, d):
-    """Talks of at least n replies whose first n are sound and don't loop, for n = 3 and 5."""
+    """Prefixes of 3 and 5 replies; ``clean_prefixes_long`` has the reference's 5 and 10."""
+    return _clean(spark, d, (3, 5))
+
+
+def clean_prefixes_long(spark, d):
+    """Prefixes of 5 and 10 replies, as the reference reports them."""
+    return _clean(spark, d, (5, 10))
+
+
+def _clean(spark, d, prefixes):
+    """Talks of at least n replies whose first n are sound and don't loop, for each n."""
     facts = ev.evaluate(conversation_turns(spark, d))
     out = None
-    for n in (3, 5):
+    for n in prefixes:
         head = facts.where(F.col("n") <= n).groupBy("id").agg(F.count_if(F.size("broken_reasons") > 0).alias("broken"), F.max("n").alias("m"))
         rows = head.where(F.col("m") >= n).join(ev.looped(facts, n), "id")
         part = rows.agg(F.lit(n).cast("bigint").alias("prefix"), F.count(F.lit(1)).alias("n_talks"), F.count_if((F.col("broken") == 0) & ~F.col("loop")).alias("n_clean"))
@@ -153,6 +163,8 @@ def _prefix(n: int) -> str:
 
 CLEAN_PREFIXES = f"with {FACTS}, {LOOP} select prefix::bigint as prefix, n_talks, n_clean from ({_prefix(3)} union all {_prefix(5)})"
 
+CLEAN_PREFIXES_LONG = f"with {FACTS}, {LOOP} select prefix::bigint as prefix, n_talks, n_clean from ({_prefix(5)} union all {_prefix(10)})"
+
 
 def reply_overlap(spark, d):
     """Mean bigram overlap between the replies of one talk."""
@@ -298,7 +310,7 @@ select case when n <= 1 then '1' when n <= 12 then '2-12' when n <= 30 then '13-
 QUERIES = {
     "turn_rows": (turn_rows, TURN_ROWS), "merged_turns": (merged_turns, MERGED_TURNS), "turn_shape": (turn_shape, TURN_SHAPE), "with_chosen": (with_chosen, WITH_CHOSEN),
     "reply_facts": (reply_facts, REPLY_FACTS), "broken_counts": (broken_counts, BROKEN_COUNTS), "talk_metrics": (talk_metrics, TALK_METRICS),
-    "clean_prefixes": (clean_prefixes, CLEAN_PREFIXES), "reply_overlap": (reply_overlap, REPLY_OVERLAP), "probe_results": (probe_results, PROBE_RESULTS),
+    "clean_prefixes": (clean_prefixes, CLEAN_PREFIXES), "clean_prefixes_long": (clean_prefixes_long, CLEAN_PREFIXES_LONG), "reply_overlap": (reply_overlap, REPLY_OVERLAP), "probe_results": (probe_results, PROBE_RESULTS),
     "blind_pairs": (blind_pairs, BLIND_PAIRS), "turn_features": (turn_features, TURN_FEATURES), "memory_slots": (memory_slots, MEMORY_SLOTS), "memory_slots_all": (memory_slots_all, None),
     "context_windows": (context_windows, CONTEXT_WINDOWS), "question_runs": (question_runs, QUESTION_RUNS), "transcript_turns": (transcript_turns, None),
     "reply_lengths": (reply_lengths, REPLY_LENGTHS),

@@ -335,3 +335,14 @@ def test_memory_slots_all_has_jobs(spark, tmp_path):
     spark.createDataFrame(rows, TALK).write.parquet(f"{tmp_path}/example_conversations.parquet")
     got = {(r.id, r.slot): (r.turn, r.value, r.confidence) for r in catalog.queries()["memory_slots_all"](spark, str(tmp_path)).collect()}
     assert got == {("a", "job"): (4, "nurse", 0.9), ("a", "pet_name"): (2, "rex", 0.75)}
+
+
+def test_clean_prefixes_long(spark, tmp_path):
+    from talkmill import catalog
+
+    said = "we ate soup|rain came late|anna took our boat|nice lamp there|you were asleep|he made plum cake|she read alone|they went home|no bus tonight|maybe tomorrow then".split("|")
+    long = [t for s in said for t in ("so?", s)]
+    rows = [talk("a", *long), talk("b", *long[:19], "..."), talk("c", *long[:10])]
+    spark.createDataFrame(rows, TALK).write.parquet(f"{tmp_path}/example_conversations.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["clean_prefixes_long"](spark, str(tmp_path)).collect())
+    assert got == [(5, 3, 3), (10, 2, 1)]
