@@ -61,6 +61,8 @@ def talk_metrics(facts: DataFrame) -> DataFrame:
         F.count_if("ai_style").alias("ai_style"),
         F.count_if("ungrammatical").alias("ungrammatical"),
         F.count_if(F.size("broken_reasons") > 0).alias("broken"),
+        F.avg("rep").alias("mean_rep_ngram"),
+        F.avg("copy").alias("mean_copy_ratio"),
     )
     unigrams = facts.select("id", F.explode("w").alias("g")).groupBy("id").agg(F.countDistinct("g").alias("u1"), F.count("g").alias("t1"))
     bigrams = facts.select("id", F.explode(ngrams("w", 2)).alias("g")).groupBy("id").agg(F.countDistinct("g").alias("u2"), F.count("g").alias("t2"))
@@ -69,7 +71,7 @@ def talk_metrics(facts: DataFrame) -> DataFrame:
     return joined.select(
         "id", "num_turns", "words", "max_len", "in_band", "questions", "ai_style", "ungrammatical", "broken", "loop",
         ratio(zero("u1"), zero("t1")).alias("distinct_1"), ratio(zero("u2"), zero("t2")).alias("distinct_2"),
-        (F.col("questions") / F.col("num_turns") > 0.8).alias("excessive_questions"),
+        (F.col("questions") / F.col("num_turns") > 0.8).alias("excessive_questions"), "mean_rep_ngram", "mean_copy_ratio",
     )
 
 

@@ -112,10 +112,18 @@ BROKEN_COUNTS = f"with {FACTS}, e as (select unnest(broken_reasons) as reason fr
 
 
 def talk_metrics(spark, d):
-    m = ev.talk_metrics(ev.evaluate(conversation_turns(spark, d)))
+    """The metrics of its SQL; ``talk_averages`` has the two averages."""
+    m = ev.talk_metrics(ev.evaluate(conversation_turns(spark, d))).drop("mean_rep_ngram", "mean_copy_ratio")
     return longs(m.withColumn("distinct_1", F.round("distinct_1", 6)).withColumn("distinct_2", F.round("distinct_2", 6)))
 
 
+def talk_averages(spark, d):
+    """Per talk: mean repeated and mean copied share of its replies."""
+    m = ev.talk_metrics(ev.evaluate(conversation_turns(spark, d)))
+    return m.select("id", F.round("mean_rep_ngram", 6).alias("mean_rep_ngram"), F.round("mean_copy_ratio", 6).alias("mean_copy_ratio"))
+
+
+TALK_AVERAGES = f"""with {FACTS} select id, round(avg(rep), 6) as mean_rep_ngram, round(avg("copy"), 6) as mean_copy_ratio from f group by id"""
 LOOP = """
 k as (select id, n, norm, w, lag(norm) over (partition by id order by n) as pn, lag(w) over (partition by id order by n) as pw, nth from f),
 lp as (select id, bool_or(norm <> '' and coalesce(norm = pn or (len(pw) > 0 and len(list_intersect(list_distinct(w), list_distinct(pw)))::double / len(list_distinct(list_concat(w, pw))) >= 0.8), false)) or bool_or(norm <> '' and nth >= 3) as "loop" from k group by id)
@@ -309,7 +317,7 @@ select case when n <= 1 then '1' when n <= 12 then '2-12' when n <= 30 then '13-
 
 QUERIES = {
     "turn_rows": (turn_rows, TURN_ROWS), "merged_turns": (merged_turns, MERGED_TURNS), "turn_shape": (turn_shape, TURN_SHAPE), "with_chosen": (with_chosen, WITH_CHOSEN),
-    "reply_facts": (reply_facts, REPLY_FACTS), "broken_counts": (broken_counts, BROKEN_COUNTS), "talk_metrics": (talk_metrics, TALK_METRICS),
+    "reply_facts": (reply_facts, REPLY_FACTS), "broken_counts": (broken_counts, BROKEN_COUNTS), "talk_metrics": (talk_metrics, TALK_METRICS), "talk_averages": (talk_averages, TALK_AVERAGES),
     "clean_prefixes": (clean_prefixes, CLEAN_PREFIXES), "clean_prefixes_long": (clean_prefixes_long, CLEAN_PREFIXES_LONG), "reply_overlap": (reply_overlap, REPLY_OVERLAP), "probe_results": (probe_results, PROBE_RESULTS),
     "blind_pairs": (blind_pairs, BLIND_PAIRS), "turn_features": (turn_features, TURN_FEATURES), "memory_slots": (memory_slots, MEMORY_SLOTS), "memory_slots_all": (memory_slots_all, None),
     "context_windows": (context_windows, CONTEXT_WINDOWS), "question_runs": (question_runs, QUESTION_RUNS), "transcript_turns": (transcript_turns, None),

@@ -346,3 +346,12 @@ def test_clean_prefixes_long(spark, tmp_path):
     spark.createDataFrame(rows, TALK).write.parquet(f"{tmp_path}/example_conversations.parquet")
     got = sorted(tuple(r) for r in catalog.queries()["clean_prefixes_long"](spark, str(tmp_path)).collect())
     assert got == [(5, 3, 3), (10, 2, 1)]
+
+
+def test_talk_averages(spark, tmp_path):
+    from talkmill import catalog
+
+    rows = [talk("a", "what a day", "go on go on go on", "so we ate", "we ate soup"), talk("b", "hm", "")]
+    spark.createDataFrame(rows, TALK).write.parquet(f"{tmp_path}/example_conversations.parquet")
+    got = {r.id: (r.mean_rep_ngram, r.mean_copy_ratio) for r in catalog.queries()["talk_averages"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (0.25, 0.333333), "b": (0.0, 0.0)}
