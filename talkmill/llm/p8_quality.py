@@ -42,7 +42,7 @@ MARKUP_ROW = re.compile(r"</?t[dhr][ >]")
 BULLETS = np.array([ord(c) for c in "-*•+·–—>"], np.uint32)
 SUMS = (
     "chars", "solid", "letters", "vowels", "digits", "symbols", "mojibake", "words", "common", "tokens", "hex_pairs",
-    "escapes", "long_chars", "ends", "lines", "closed_lines", "bullet_lines", "table_chars", "log_chars", "item_chars", "text_chars",
+    "escapes", "long_chars", "ends", "lines", "closed_lines", "bullet_lines", "table_chars", "log_chars", "item_chars", "text_chars", "markup_chars",
 )
 
 
@@ -181,10 +181,11 @@ def text_sums(texts: list[str], known: np.ndarray) -> tuple[dict[str, np.ndarray
 
     tokens = np.maximum(high - bare_token, 1)
     parts = between(separators) + 1
-    item = (tokens <= 6) | (parts >= 4) & (tokens <= parts * 3.5) & (between(broken) == 0)
+    item = (tokens <= 6) | (parts >= 4) & (tokens <= parts * 6) & (between(broken) == 0)
     shape = np.where(log, 1, np.where(row, 0, np.where(closed & (core >= bare), 3, np.where(item, 2, 3))))
     for k, name in enumerate(("table", "log", "item", "text")):
         out[f"{name}_chars"] = by_text(np.where(shape == k, weight, 0))
+    out["markup_chars"] = by_text(np.where(markup, weight, 0))
     out["solid"] = by_text(weight)
     out["lines"], out["closed_lines"], out["bullet_lines"] = by_text(filled), by_text(closed), by_text(mark_size > 0)
 
@@ -254,7 +255,8 @@ def kind_of() -> Column:
         & yes(ratio("words", "lines") > 12)
     )
     return (
-        F.when(noise & ~(cells & ~few & (F.col("solid") > 0) & yes(ratio("long_chars", "solid") <= 0.5) & yes(ratio("vowels", "letters") >= 0.27)), "junk")
+        F.when(share("markup_chars") > 0.5, "table")  # its tags are long and have few vowels, and aren't noise
+        .when(noise & ~(cells & ~few & (F.col("solid") > 0) & yes(ratio("long_chars", "solid") <= 0.5) & yes(ratio("vowels", "letters") >= 0.27)), "junk")
         .when(cells & yes(ratio("letters", "solid") + ratio("digits", "solid") >= 0.3), "table")
         .when(marks, "junk")
         .when(yes(share("item_chars") > 0.5), "list")

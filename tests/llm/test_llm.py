@@ -286,6 +286,9 @@ def test_p8(spark, folder, monkeypatch):
         4: ("soup, old lamp, call Anna, bus pass, plum cake, tent", "list"), 5: ("name,town,food\nAnna,Rome,soup\nBo,Oslo,cake", "table"), 6: ("| a | b |\n| soup | lamp |\n| cake | tent |", "table"),
         7: ("ha ha ha ha ha ha ha ha ha ha ha ha", "junk"), 8: ("q7Zk9vLw3XyT0bN5cM8dF2gH4jK6lP1rS==" * 4, "junk"), 9: (None, "junk"), 10: (" \n​", "junk"), 11: ("[1] INFO q=1 rt=0x12ab34 d=2\n[2] WARN q=3 rt=0x99ab34 d=1", "junk"),
         12: ("phone stool paint suitcase plant deck latch machine mower library toolbox plant bread grater fern cover", "junk"), 13: (prose * 40, None), 14: ("\n".join(f"- {a} {b}" for a in words for b in words), "list"),
+        15: ("<table><tr><td>food</td><td>count</td></tr>\n" + "<tr><td>plum cake</td><td>14</td></tr>\n" * 4, "table"),
+        16: ("la lampada del corridoio (40), la bici arrugginita / Anna, un cesto di ciliegie, la chiave della cantina, il cappotto pesante", "list"),
+        17: ("x" * 40_000 + "\r\n" + "\u0100\U0001F600 \U00020000 '", "junk"),
     }
     d = folder(documents=[(k, t, None, None, "x") for k, (t, _) in kinds.items()] + [(3, kinds[3][0], None, None, "x"), (None, None, None, None, "x")])
     want = sorted([(k, v) for k, (_, v) in kinds.items() if v] + [(3, "list"), (None, "junk")], key=str)
@@ -305,7 +308,7 @@ def test_p8_sums_do_not_depend_on_chunks(spark, folder, monkeypatch):
     prose = "it wasn't a quiet day and we talked about the rain. nobody knew why, but it is fine; "
     texts = [
         prose * 6 + "done.", "- " + prose * 5, "\n" + prose * 5 + "\n\n- soup\n- lamp.\n", " " * 300 + "late start.\n" + "x" * 250 + "'" + "y" * 120 + ". end",
-        "a=1 b=2 " + prose * 3 + "\r" + prose * 2 + "\r\n" + prose, "| soup " * 40 + "\n" + "soup,lamp," * 30, "Ÿ€ Ã© " * 40 + "\n" + "Ÿ€" * 90 + "Ã©" * 90, "%41%42" * 60 + " " + "ab " * 90 + "0f" * 70,
+        "a=1 b=2 " + prose * 3 + "<td>" + "\r" + prose * 2 + "\r\n" + prose, "| soup " * 40 + "\n" + "soup,lamp," * 30, "Ÿ€ Ã© " * 40 + "\n" + "Ÿ€" * 90 + "Ã©" * 90, "%41%42" * 60 + " " + "ab " * 90 + "0f" * 70,
         "anna, bus, cake, tent, " * 12, ("no end here\n" + prose * 2 + "done!\n") * 5, "one line after another " * 9 + "\u2028" + "- next " * 30,
     ]
     d = folder(documents=[(k, t, None, None, "x") for k, t in enumerate(texts)])
