@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from talkmill.llm.p1_talks import ASSISTANT_NAMES, LABEL, USER_NAMES
-from talkmill.llm.p3_splits import EVALUATION, LISTS, TRAIN
-
+# Fixed values, written from the problems' statements and not taken from the code that the SQL checks.
+USER_NAMES = ("user", "human", "a", "speaker1", "me", "you")
+ASSISTANT_NAMES = ("assistant", "ai", "bot", "b", "speaker2", "them")
+LABEL = r"(?i)^\s*(user|assistant|human|ai|a|b|speaker\s*1|speaker\s*2|me|them|you|bot|system)\s*[:>-]\s*"
+LISTS = ("known_facts", "unknown_facts", "state_mutations", "contradictions", "callbacks")
+TRAIN = ("train", "training", "trn")
+VALIDATION = ("validation", "valid", "val", "dev")
+TEST = ("test", "testing", "tst", "heldout", "eval")
+EVALUATION = VALIDATION + TEST
 VIS = r"[^\s\p{Z}\p{Cc}\p{Cf}\x{34F}\x{115F}\x{1160}\x{2800}\x{3164}\x{FE00}-\x{FE0F}\x{FFA0}]"
 LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 names = lambda xs: ", ".join(f"'{x}'" for x in xs)

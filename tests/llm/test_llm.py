@@ -179,13 +179,58 @@ def test_p3(spark, folder):
     assert set(got) == want and len(got) == len(want) and len(want) > 30
 
 
-def test_p3_cheapest_cuts_cover():
+def test_p3_cuts_are_disjoint_and_cheapest():
     rng = np.random.default_rng(1)
-    for size in range(1, 40):
-        for k in (2 * size // 7, size // 3):
-            cuts = sorted(p3_splits.cheapest_cuts(rng.random(size), k + 1, p3_splits.LONGEST))
-            assert len(cuts) == k + 1 and cuts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(cuts, cuts[1:] + [(size, 0)]))
-    assert p3_splits.banded([1, 2, 3], [1, 3], 1, 2) == 1 and p3_splits.banded([1, 2], [3, 4], 3, 2) == 4
+    sizes = np.arange(4, 15)
+    rarity = np.full((len(sizes), 14), np.inf)
+    for i, size in enumerate(sizes):
+        rarity[i, :size] = rng.random(size)
+    for n in (2 * sizes // 7 + 1, sizes // 3 + 1):
+        row, place, length = p3_splits.cheapest_cuts(rarity, sizes, n, p3_splits.SIZES)
+        for i, size in enumerate(sizes):
+            cuts = sorted(zip(place[row == i], length[row == i]))
+            assert len(cuts) == n[i] and all(a + x <= b for (a, x), (b, _) in zip(cuts, cuts[1:] + [(size, 0)]))
+
+            def best(at, left):
+                if left == 0:
+                    return 0.0
+                return min((rarity[i, p : p + x].prod() + best(p + x, left - 1) for p in range(at, size) for x in p3_splits.SIZES if p + x <= size), default=np.inf)
+
+            assert abs(sum(rarity[i, p : p + x].prod() for p, x in cuts) - best(0, n[i])) < 1e-9
+
+
+def test_p3_banded_matches_table():
+    rng = random.Random(8)
+    pairs = [([rng.randint(1, 4) for _ in range(rng.randint(0, 9))], [rng.randint(1, 4) for _ in range(rng.randint(0, 9))]) for _ in range(300)]
+    for change in (1, 2):
+        k = np.array([rng.randint(0, 6) for _ in pairs])
+        got = p3_splits.banded([np.array(a, np.int64) for a, _ in pairs], [np.array(b, np.int64) for _, b in pairs], k, change)
+        for (a, b), limit, d in zip(pairs, k, got):
+            row = list(range(len(b) + 1))
+            for i, x in enumerate(a, 1):
+                new = [i]
+                for j, y in enumerate(b, 1):
+                    new.append(min(row[j - 1] + (0 if x == y else change), row[j] + 1, new[-1] + 1))
+                row = new
+            assert d == min(row[-1], limit + 1)
+
+
+def test_p3_hot_group_is_salted_without_loss(spark, folder):
+    """A third of all specs are near copies of each other; salts split their keys and lose no pair."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(20)]
+    words = lambda: [w for w in base if rng.random() > 0.06] if rng.random() < 0.34 else [f"v{rng.randint(0, 400)}" for _ in range(20)]
+    specs = [(f"q{i:03d}", rng.choice(["train", "train", "test", "dev"]), None, [" ".join(words())], None, None, None, None, "x") for i in range(240)]
+    d = folder(latent_specs=specs)
+    bags = {s[0]: (s[1], set(s[3][0].split())) for s in specs}
+    want = {(min(a, b), max(a, b)) for a, (s, x) in bags.items() for b, (t, y) in bags.items() if s == "train" and t != "train" and 4 * len(x & y) >= 3 * len(x | y)}
+    rows = p3_splits.spec_rows(spark.read.parquet(f"{d}/latent_specs.parquet"))
+    sets = p3_splits.classes_of(rows)
+    for salt_rows in (5, 10**6):
+        pairs = p3_splits.spread(p3_splits.spec_pairs(sets, salt_rows), sets, rows, "latent_specs").collect()
+        assert {(min(r.eval_id, r.train_id), max(r.eval_id, r.train_id)) for r in pairs} == want and len(want) > 500
+    splits = {(r.split, r.n_records) for r in p3_splits.p3_overlaps(spark, d).groupBy("split").agg({"n_records": "sum"}).toDF("split", "n_records").collect()}
+    assert {s for s, _ in splits} == {"test", "validation"}
 
 
 def test_p4(spark, folder):
