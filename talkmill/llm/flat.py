@@ -17,7 +17,7 @@ BLOCK = 1 << 18
 #: Characters from here on (rare ideographs) share one table entry and count as letters.
 TOP = 0x1FFFF
 
-LETTER, DIGIT, SPACE, BREAK, VOWEL, PLAIN, MARK, CLOSER, APOSTROPHE, UPPER, HEX, RARE, HIDDEN = (1 << k for k in range(13))
+LETTER, DIGIT, SPACE, BREAK, VOWEL, PLAIN, MARK, CLOSER, APOSTROPHE, UPPER, HEX, RARE, HIDDEN, PAUSE = (1 << k for k in range(14))
 
 _ROOT = 0x9E3779B97F4A7C15
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -51,6 +51,7 @@ def _table() -> tuple[np.ndarray, np.ndarray]:
         ("\"'”’»)]*", CLOSER),
         ("'’", APOSTROPHE),
         ("0123456789abcdefABCDEF", HEX),
+        (".!?…;:,\n—–？！。", PAUSE),
         (",;=|│\t<x%\"�ÃÂâðŸ", RARE),
     ):
         for c in chars:

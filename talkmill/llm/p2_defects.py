@@ -1,19 +1,24 @@
 """Problem 2: broken prompt and response pairs.
 
-Every answer is cut into clauses, a linear-chain conditional random field tags each clause
-as answer, refusal, echo, foreign or unfinished, and the share of the answer that each tag
-covers gives the pair's defect. ``empty`` and ``copy`` are defined by words alone; an exact
-check confirms them after the tags.
-
-What the tagger sees comes from statistics of all texts:
+Every answer is cut into clauses, a linear-chain conditional random field tags each clause as
+answer, refusal, echo, foreign, unfinished or blank, and the share of the answer's words that each
+tag covers gives the pair's defect. ``empty`` and ``copy`` are confirmed by an exact check after the
+tags; an answer without any word has no clause and is ``empty``.
+
+What the tagger sees of a clause: its words and word pairs (hashed), the last open word and the
+marks around it, its place and size, how many of its words stand in the question, and two kinds of
+statistics of all texts:
 - languages: word counts per language in a fixed number of hash buckets, the language of a
   talk being seeded by its common words;
 - endings: how often a word stands inside, ends a text, or begins a longer word (counted by
   shuffles; joined to the answers on their last word, never collected).
 
-The field is trained on a bounded sample of ``SAMPLE`` pairs (smallest hashes of their place),
-each used as it is and made defective on purpose (cut off, answered by the question, by a text
-of another language, by a phrase that declines). Statistics, candidates and tagging cover all rows.
+The tables hold no labels. The field is trained on a bounded sample, ``SAMPLE`` pairs of at most
+``SAMPLE_CHARS`` characters with the smallest hashes of their place, and on defects made from them:
+the question given back, a text of another language, a phrase that declines (``phrases``), a marker, the
+answer cut inside a word or after a word that must go on. Untouched answers are labelled sound,
+whatever they look like, unless a field that did not see them finds them defective: those are left out.
+No label is computed from the features. Statistics, candidates and tagging cover all rows.
 
 Defined results: a null or blank answer is ``empty``; a missing or wordless question makes no
 copy and no foreign answer; messages of other roles than the assistant's are no answers; null
@@ -25,513 +30,536 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkmill.llm.crf import LinearChain, padded
+from talkmill.llm.crf import LinearChain
+from talkmill.llm.flat import CLOSER, PAUSE, SPACE, Flat, blocks, word_hashes
+from talkmill.llm.phrases import DANGLING, DECLINE, FRAMES, GO_ON, MARKERS
 from talkmill.plans.lineage import cut
 from talkmill.sources.tables import table
 
-LABELS = ("answer", "refusal", "echo", "foreign", "unfinished")
+LABELS = ("answer", "refusal", "echo", "foreign", "unfinished", "blank")
+ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, BLANK = range(6)
 LANGS = ("en", "fr", "de", "es", "it", "pt")
 BUCKETS = 1 << 16
-SAMPLE = 2_500
+SAMPLE = 4_000
 SAMPLE_CHARS = 1_500
-SAMPLE_CLAUSES = 12
-WIDTH = 26
-
-WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-JVM_WORD = r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"
-CLAUSE = re.compile(r"[^.!?…;:,\n—–？！。]+[.!?…;:,\n—–？！。\s]*|[.!?…;:,\n—–？！。]+")
-CLOSED = re.compile(r"(?:[!?？！。]|(?<![.…])\.)[\s\"'”’»)\]*_]*$")
-MARKER = re.compile(
-    r"[\W_]*(?:(?:empty|none|null|nil|nan|n\W?a|blank|missing|undefined|tbd|todo|void"
-    r"|(?:no|without|missing|empty) (?:reply|answer|response|content|text|data|message)|not available|nothing"
-    r"|sin respuesta|sem resposta|nessuna risposta|sans réponse|pas de réponse|keine antwort)[\W_]*)+",
-    re.I,
-)
-
-# Words after which a sentence must go on, by language.
-GO_ON = {
-    "en": "the a an and or but because my your our their his its with from into than if while although though since until unless which whose every when",
-    "fr": "le la les un une des de du et ou mais parce que qui si avec sans pour dans sur chez par mon ma mes ton ta son sa ses notre votre leur au aux à car dont puisque je tu il",
-    "de": "der die das den dem des ein eine einen einem einer und oder aber weil dass wenn mit ohne von für bei mein dein sein ihr als ob sowie im am zum zur obwohl damit",
-    "es": "el la los las un una de del y o pero porque que con sin para por en mi tu su al si cuando como aunque yo",
-    "it": "il lo la i gli le un una uno di del della dei e o ma perché che con senza per in nel nella mio mia al alla se quando da dal io",
-    "pt": "o a os as um uma de do da e ou mas porque que com sem para por em no na meu minha ao se quando eu",
-}
-GO_ON = {k: frozenset(v.split()) for k, v in GO_ON.items()}
-
-# Turns of phrase by which speakers decline, and look-alikes that don't.
-UNWILLING = re.compile(
-    r"\b(?:can'?t|can ?not|could ?n[o']t|couldn't|won'?t|will not|would ?n[o']t|would not|not able|unable|not allowed|not permitted|not free"
-    r"|must not|should ?n[o']t|should not|rather not|prefer not|no answer|no opinion|no comment|nothing to say|not right|not my place|not for me"
-    r"|not something i|decline|must pass|have to pass|will pass|pass on|refuse|off limits|falls? outside|outside what|beyond what"
-    r"|told to leave|told not|asked not|leave (?:this|that|it)\b.*\balone|elsewhere|guidelines|policy|rules|keeps? me from|stops me from|forbid"
-    r"|only a (?:program|bot|machine|model)|just a (?:program|bot|machine|model)|as an? (?:ai|assistant|language model)|steer clear|stay away|stay out"
-    r"|no (?:puedo|debo|quiero|voy a|podría|me corresponde|me toca|me permiten|tengo permi\w+|estoy autorizad\w|me est[áa] permitido)|prefiero no|prefiero callar|mejor no"
-    r"|pregunt\w+ a otr\w+|otra persona|me han pedido|me pidieron|prohibido|fuera de mis"
-    r"|n[ãa]o (?:posso|devo|quero|vou|me cabe|me compete|tenho permiss\w+|estou autorizad\w|me [ée] permitido)|prefiro n[ãa]o|prefiro calar|melhor n[ãa]o"
-    r"|perguntar a outr\w+|outra pessoa|pediram-me|pediram para|proibido"
-    r"|non (?:posso|devo|voglio|mi è permesso|mi è consentito|spetta|tocca|ho il permesso|sono autorizzat\w)|preferisco non|preferisco tacere|meglio non"
-    r"|chiedere a (?:qualcun|altr)\w*|qualcun altro|mi hanno chiesto|vietato"
-    r"|ne (?:peux|dois|veux|puis|vais|suis|saurais) pas|n'ai pas le droit|pas le droit|préfère ne|préfère me taire|me taire|mieux vaut ne"
-    r"|quelqu'un d'autre|demandé de ne pas|pas autorisé\w*|pas à moi|interdit|m'abst\w+"
-    r"|(?:kann|darf|will|möchte|werde|soll|sollte)\b.*\b(?:nicht|nichts|kein\w*)|die finger lassen|lieber nicht\w*|jemand(?:en)? ander\w*|nicht erlaubt|untersagt|verboten|leider nicht|nicht zuständig)(?!\w)",
-    re.I,
-)
-SPEECH = re.compile(
-    r"\b(?:answer\w*|reply\w*|replies|respond\w*|response|discuss\w*|comment\w*|opinion\w*|talk about|speak\w*|say anything|say more|say about|subject|topic|question|request|theme|matter"
-    r"|get into|go into|touch on|help (?:you )?with (?:that|this|it)|weigh in|advise|this one|that one"
-    r"|responder\w*|contestar\w*|hablar\w*|comentar\w*|opinar\w*|decir\w*|tema|pregunta\w*|eso|asunto"
-    r"|falar\w*|dizer|assunto|pergunt\w*|isso|rispond\w*|parlar\w*|commentar\w*|dire|argomento|domanda|chiedere"
-    r"|répondre|parler|commenter|aborder|sujet|thème|question|cela|là-dessus"
-    r"|antworten|beantworten|sagen|sprechen|reden|äußern|helfen|thema|frage|darauf|davon|dazu|dabei)\b",
-    re.I,
-)
-LOOK_ALIKE = re.compile(
-    r"\b(?:say no|says no|stop|believe|lie\b|wait\b|imagine|help (?:but|laughing)|won'?t lie|refused? to hand|declines|ne plus|non ne posso più|no puedo más|não aguento)",
-    re.I,
-)
-SORRY = re.compile(
-    r"\b(?:sorry|apolog\w+|afraid|unfortunately|regret|pardon|lo siento|perdona|lamento|por desgracia|desculp\w+|infelizmente|mi dispiace|scusa|purtroppo|désolé\w*|hélas|malheureusement|tut mir leid|leider|bedaure)\b",
-    re.I,
-)
-TAIL = re.compile(
-    r"(?:try|ask) (?:someone|somebody) else|another (?:topic|subject|question)|anything else on your mind|hope you understand|something else\?|otro tema|outro assunto|altro argomento|autre sujet|anderes thema",
-    re.I,
-)
-
-#: Ways to decline, for training only: openers, cores and closers are combined.
-DECLINE = {
-    "en": (
-        "i cannot answer that|i can't help with that|i'm not able to talk about this|i would rather not discuss it|i have to decline this request|"
-        "that topic is off limits for me|we are not allowed to comment on that|my rules keep me from answering|i must pass on this one|"
-        "you should take that question elsewhere|it is not my place to say anything on this subject|i was told to leave this topic alone|"
-        "i'm just a program and have no opinion on that|this falls outside what i may discuss|i have to decline|this is a thing i must decline"
-    ),
-    "fr": "je ne peux pas répondre|je préfère ne pas parler de ce sujet|je n'ai pas le droit de commenter|il faut demander à quelqu'un d'autre|je dois me taire là-dessus",
-    "de": "darauf kann ich nicht antworten|zu dem thema möchte ich nichts sagen|dabei darf ich nicht helfen|das soll jemand anderes beantworten|davon soll ich die finger lassen",
-    "es": "no puedo responder a esa pregunta|prefiero no hablar de eso|no tengo permiso para comentar ese tema|tendrías que preguntar a otra persona",
-    "it": "non posso rispondere|preferisco non parlare di questo tema|non ho il permesso di commentare|devi chiedere a qualcun altro",
-    "pt": "não posso responder a essa pergunta|prefiro não falar disso|não tenho permissão para comentar|terias de perguntar a outra pessoa",
-}
-OPENERS = ("", "hm, ", "look, ", "oh, ", "well: ", "sorry, ", "thank you for asking but ", "i'm afraid ", "ok. ", "a pity, ")
-CLOSERS = ("", ".", "!", ". sorry", ", i hope that is fine", ". please ask someone else", " — another topic maybe?")
+STEPS = (60, 30, 30)
+DENSE = 34
+WORDS = 1 << 17  # buckets of words and word pairs; those of last words lie beyond
+HASHED = WORDS + (1 << 16)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+_SHIFT, _LAST = np.uint64(64 - 17), np.uint64(64 - 16)
+
+MARKER = re.compile(r"[\W_]*(?:(?:" + "|".join(re.escape(m).replace("/", r"\W?") for m in MARKERS) + r")[\W_]*)+", re.I)
 
 
 def plain(text: str | None) -> str:
-    """Text with common letter forms and apostrophes, for the patterns."""
-    return unicodedata.normalize("NFKC", text or "").replace("’", "'").replace("‘", "'").replace("_", " ")
-
-
-def words_of(text: str) -> list[str]:
-    return [w.replace("'", "").replace("’", "") for w in WORD.findall(text.lower())]
-
-
-def last_word(text: str) -> str | None:
-    """The last word of an answer that no final mark closes, in lower case."""
-    if CLOSED.search(text):
-        return None
-    found = WORD.findall(text.lower())
-    return found[-1] if found else None
-
-
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & (BUCKETS - 1)
-
-
-class Languages:
-    """Naive Bayes over hashed words; ``scores`` gives one log likelihood per language."""
-
-    def __init__(self, counts: np.ndarray):
-        smooth = counts + 0.3
-        # Names and numbers are as common in all languages and so tell nothing.
-        self.log = np.log(smooth / (counts.sum(1, keepdims=True) + 0.3 * BUCKETS))
-        self.seen = counts.sum(0) >= 3
-        self.cache: dict[str, np.ndarray] = {}
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(len(LANGS))
-        for w in words:
-            row = self.cache.get(w)
-            if row is None:
-                b = bucket(w)
-                row = self.log[:, b] - self.log[:, b].max() if self.seen[b] else np.zeros(len(LANGS))
-                row = np.maximum(row, -4.0)
-                if len(self.cache) < 200_000:
-                    self.cache[w] = row
-            total += row
-        return total
-
-
-def seed_language(texts, seeds: dict[str, int]) -> int:
-    """The language of a talk by its common words; -1 if they don't tell."""
-    votes = [0] * len(LANGS)
-    for t in texts:
-        for w in WORD.findall((t or "").lower()):
-            for k in seeds.get(w, ()):
-                votes[k] += 1
-    order = sorted(votes, reverse=True)
-    return votes.index(order[0]) if order[0] > order[1] else -1
-
-
-def pairs_of(record: dict, tbl: str):
-    """(pos, question, answer) of a record's answers."""
-    messages = record["messages"] or []
-    if tbl == "example_teacher_candidates":
-        last = messages[-1]["content"] if messages and messages[-1] else None
-        for pos, c in enumerate(record["candidates"] or []):
-            yield pos, last, c["content"] if c else None
-        return
-    question = None
-    for pos, m in enumerate(messages):
-        role = (m["role"] or "").strip().lower() if m else ""
-        if role == "user":
-            question = m["content"]
-        elif role == "assistant":
-            yield pos, question, m["content"]
+    """Text with common letter forms and without apostrophes."""
+    if not text:
+        return ""
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    for c in "'’‘`":
+        text = text.replace(c, "")
+    return text.replace("_", " ")
+
+
+def words_of(flat: Flat) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, hash, text) of every word."""
+    first, last = flat.words(digits=True)
+    return first, last, flat.hashes(first, last), np.searchsorted(flat.stops, first)
+
+
+def open_ends(flat: Flat, first: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, open, core) of each text: its last word, whether no final mark closes it, and the place of its last solid character."""
+    n = len(flat.stops)
+    word = np.searchsorted(first, flat.stops) - 1
+    held = (word >= 0) & (owner[np.maximum(word, 0)] == np.arange(n)) if len(first) else np.zeros(n, bool)
+    place = np.arange(len(flat.codes))
+    core = np.maximum.accumulate(np.where((flat.flags & (CLOSER | SPACE)) != 0, -1, place))[flat.stops]
+    mark, before = flat.codes[np.maximum(core, 0)], flat.codes[np.maximum(core - 1, 0)]
+    final = np.isin(mark, [ord(c) for c in "!?？！。"]) | ((mark == 46) & ~np.isin(before, [46, 0x2026]))
+    return np.where(held, word, -1), held & ~(final & (core >= flat.starts)), core
+
+
+def reduced(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows of ``values`` by ascending ``owner``."""
+    out = np.zeros((n, values.shape[1]))
+    if len(owner):
+        at = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        out[owner[at]] = np.add.reduceat(values, at, axis=0, dtype=np.float64)
+    return out
+
+
+class CommonWords:
+    """Votes for languages by a fixed list of common words."""
+
+    def __init__(self, words: list[tuple[str, str]]):
+        known = sorted({plain(w).lower() for _, w in words})
+        hashes = word_hashes(known) if known else np.zeros(1, np.uint64)
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
+        place = {w: k for k, w in enumerate(known)}
+        votes = np.zeros((max(1, len(known)), len(LANGS)))
+        for lang, w in words:
+            if lang in LANGS:
+                votes[place[plain(w).lower()], LANGS.index(lang)] = 1
+        self.votes = votes[order]
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.votes[at] * (self.hashes[at] == hashes)[:, None]
+
+    def by_text(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(LANGS)))
+        for low, high in blocks(texts):
+            _, _, h, owner = words_of(Flat(texts[low:high]))
+            out[low:high] = reduced(self.of(h), owner, high - low)
+        return out
+
+
+def elected(votes: np.ndarray) -> np.ndarray:
+    """The language with most votes; -1 for a tie or none."""
+    order = np.sort(votes, axis=1)
+    return np.where(order[:, -1] > order[:, -2], votes.argmax(1), -1)
+
+
+def common_words(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(lang, word) of the fixed list of common words, about 200, checked to be small."""
+    rows = table(spark, folder, "common_words").where("word is not null and lang is not null").limit(20_001).collect()
+    if len(rows) > 20_000:
+        raise ValueError("common_words is a fixed list of at most 20,000 words")
+    return [(r.lang, r.word) for r in rows]
 
 
 def sources(spark: SparkSession, folder: str):
-    """(tbl, frame) of the two nested tables, ids and texts only."""
+    """(tbl, frame) of the two nested tables: ids, roles and texts only."""
     roles = F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    answers = F.transform("candidates", lambda c: F.struct(c["content"].alias("content")))
-    none = F.lit(None).cast("array<struct<content:string>>")
+    answers = F.transform("candidates", lambda c: c["content"])
+    none = F.lit(None).cast("array<string>")
     for tbl, candidates in (("example_conversations", none), ("example_teacher_candidates", answers)):
         frame = table(spark, folder, tbl).where("id is not null")
         yield tbl, frame.select("id", roles.alias("messages"), candidates.alias("candidates"))
 
 
-def language_counts(spark: SparkSession, folder: str) -> np.ndarray:
-    """Counts per language and hash bucket over all talks: a fixed number of rows reaches the driver."""
-    seeds: dict[str, list[int]] = {}
-    for r in table(spark, folder, "common_words").where("word is not null and lang is not null").collect():  # fixed, about 200
-        if r.lang in LANGS:
-            seeds.setdefault(r.word.lower(), []).append(LANGS.index(r.lang))
+def messages_of(batch: pa.RecordBatch) -> tuple[np.ndarray, list, pa.Array]:
+    """(record, role, content) of all messages of a batch."""
+    column = batch.column("messages")
+    role, content = column.flatten().flatten()
+    return pc.list_parent_indices(column).to_numpy(zero_copy_only=False), pc.utf8_lower(pc.utf8_trim_whitespace(role)), content
+
+
+def vocabulary(spark: SparkSession, folder: str, common: list[tuple[str, str]]) -> DataFrame:
+    """(h, word, inside, ends, open, c0..c5) of every word of all texts.
+
+    ``inside`` counts the word before another word, ``ends`` as the last of a text, ``open`` tells that
+    a text without a final mark ends on it, ``c0``.. count it in talks of each language. Each batch
+    is counted before the shuffle, so a word that holds a third of all places is few rows.
+    """
+    langs = len(LANGS)
+    schema = "h bigint, word string, inside bigint, ends bigint, open boolean, " + ", ".join(f"c{k} bigint" for k in range(langs))
 
     def count(batches):
-        total = np.zeros((len(LANGS), BUCKETS), np.int64)
+        seeds = CommonWords(common)
         for batch in batches:
-            for messages in batch.column("messages").to_pylist():
-                texts = [m["content"] for m in messages or [] if m and m["content"]]
-                lang = seed_language(texts, seeds)
-                if lang >= 0:
-                    for t in texts:
-                        for w in words_of(t):
-                            total[lang, bucket(w)] += 1
-        k, b = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k * BUCKETS + b), pa.array(total[k, b])], names=["cell", "n"])
-
-    parts = [frame.mapInArrow(count, "cell bigint, n bigint") for _, frame in sources(spark, folder)]
-    summed = parts[0].unionByName(parts[1]).groupBy("cell").agg(F.sum("n").alias("n"))
-    counts = np.zeros(len(LANGS) * BUCKETS)
-    for r in summed.toLocalIterator():  # at most len(LANGS) * BUCKETS rows
-        counts[r.cell] = r.n
-    return counts.reshape(len(LANGS), BUCKETS)
-
-
-def endings(spark: SparkSession, folder: str) -> DataFrame:
-    """(word, inside, ends, longer) of words that end some open text.
-
-    ``inside`` counts the word before another word, ``ends`` as the last of a text,
-    ``longer`` the places of longer words that begin with it and are known (some place inside a
-    text, or five ends). Words of more than 40 letters are no words and give no prefixes.
+            record, _, content = messages_of(batch)
+            texts = [plain(t) for t in content.to_pylist()]
+            talk = elected(reduced(seeds.by_text(texts), record, batch.num_rows))[record] if len(texts) else np.zeros(0, int)
+            more = [plain(t) for t in batch.column("candidates").flatten().to_pylist()]
+            texts, talk = texts + more, np.concatenate([talk, np.full(len(more), -1)])
+            for low, high in blocks(texts, 1 << 20):
+                flat = Flat(texts[low:high])
+                first, last, h, owner = words_of(flat)
+                if not len(first):
+                    continue
+                word, is_open, _ = open_ends(flat, first, owner)
+                final = np.zeros(len(first), bool)
+                final[word[word >= 0]] = True
+                opened = np.zeros(len(first), bool)
+                opened[word[is_open]] = True
+                kinds, at, slot = np.unique(h, return_index=True, return_inverse=True)
+                tally = lambda mask: np.bincount(slot[mask], minlength=len(kinds)).astype(np.int64)
+                lang = talk[low:high][owner]
+                columns = [kinds.view(np.int64), pa.array([flat.text[first[i] : last[i] + 1].lower() for i in at]), tally(~final), tally(final), tally(opened) > 0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (*columns, *(tally(lang == k) for k in range(langs)))], names=["h", "word", "inside", "ends", "open", *(f"c{k}" for k in range(langs))]
+                )
+
+    parts = [frame.mapInArrow(count, schema) for _, frame in sources(spark, folder)]
+    sums = [F.sum(c).alias(c) for c in ("inside", "ends")] + [F.max("open").alias("open")] + [F.sum(f"c{k}").alias(f"c{k}") for k in range(langs)]
+    return cut(parts[0].unionByName(parts[1]).groupBy("h").agg(F.min("word").alias("word"), *sums))
+
+
+def language_table(words: DataFrame) -> np.ndarray:
+    """Log likelihood of each hash bucket below its best language, at most 4: at most ``BUCKETS`` rows reach the driver."""
+    counts = np.zeros((BUCKETS, len(LANGS)))
+    bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")
+    for r in words.groupBy(bucket).agg(*[F.sum(f"c{k}").alias(f"c{k}") for k in range(len(LANGS))]).toLocalIterator():
+        counts[r["b"]] = r[1:]
+    log = np.log((counts + 0.3) / (counts.sum(0) + 0.3 * BUCKETS))
+    # Names and numbers are as common in all languages and so tell nothing.
+    return (np.maximum(log - log.max(1, keepdims=True), -4.0) * (counts.sum(1) >= 3)[:, None]).astype(np.float32)
+
+
+def endings(spark: SparkSession, words: DataFrame, made: list[int]) -> DataFrame:
+    """(h, inside, ends, longer) of the words that end some open text, and of the hashes ``made`` for training.
+
+    ``longer`` counts the places of longer words that begin with the word and are known (some place inside
+    a text, or five ends).
     """
-    texts = None
-    for _, frame in sources(spark, folder):
-        each = frame.select(F.explode(F.concat(
-            F.coalesce(F.transform("messages", lambda m: m["content"]), F.array().cast("array<string>")),
-            F.coalesce(F.transform("candidates", lambda c: c["content"]), F.array().cast("array<string>")),
-        )).alias("text"))
-        texts = each if texts is None else texts.unionByName(each)
-    words = F.regexp_extract_all(F.lower("text"), F.lit(JVM_WORD), F.lit(0))
-    opened = ~F.col("text").rlike(r"(?:[!?？！。]|(?<![.…])\.)[\s\"'”’»)\]*_]*$")
-    split = texts.where("text is not null").select(words.alias("words"), opened.alias("open")).where("size(words) > 0")
-    marked = split.select(
-        F.explode(
-            F.transform("words", lambda w, i: F.struct(w.alias("word"), (i < F.size("words") - 1).alias("inside"), F.col("open").alias("open")))
-        ).alias("w")
-    ).select("w.*")
-    vocabulary = marked.groupBy("word").agg(
-        F.count_if("inside").alias("inside"),
-        F.count_if(~F.col("inside")).alias("ends"),
-        F.max(~F.col("inside") & F.col("open")).alias("open"),
-    )
-    prefixes = (
-        vocabulary.where("(inside > 0 or ends >= 5) and length(word) between 2 and 40")
-        .select((F.col("inside") + F.col("ends")).alias("all"), F.explode(F.expr("transform(sequence(1, length(word) - 1), k -> substr(word, 1, k))")).alias("word"))
-        .groupBy("word")
-        .agg(F.sum("all").alias("longer"))
-    )
-    return vocabulary.where("open").join(prefixes, "word", "left").select(
-        "word", "inside", "ends", F.coalesce("longer", F.lit(0)).alias("longer")
-    )
-
-
-def breaks_off(inside: int, ends: int, longer: int) -> bool:
-    """A word that is all but unknown itself and begins known longer words."""
-    if longer < 3:
-        return False
-    return (inside == 0 and ends < 0.34 * longer) or inside + ends <= 0.01 * longer
-
-
-def features(question: str | None, answer: str, langs: Languages, talk: int, ending) -> tuple[np.ndarray, list[str]]:
-    """One row per clause of the answer, and the clauses. ``ending`` is (inside, ends, longer) of an open last word."""
-    text = plain(answer)
-    clauses = [c for c in CLAUSE.findall(text) if WORD.search(c)]
-    asked = words_of(plain(question))
-    said = words_of(text)
-    asked_set, said_count = set(asked), Counter(said)
-    covered = sum(min(n, said_count[w]) for w, n in Counter(asked).items()) / len(asked) if asked else 0.0
-    q = langs.scores(asked)
-    order = np.sort(q)
-    home = int(q.argmax()) if asked and order[-1] - order[-2] > 2 else talk
-    a = langs.scores(said)
-    own = int(a.argmax())
-    away = float(a.max() - a[home]) if home >= 0 else 0.0
-    last = last_word(text)
-    x = np.zeros((len(clauses), WIDTH))
-    unwilling = [bool(UNWILLING.search(c)) for c in clauses]
-    speech = [bool(SPEECH.search(c)) for c in clauses]
-    whole_speech, whole_unwilling = any(speech), any(unwilling)
-    alike = bool(LOOK_ALIKE.search(text))
-    for i, c in enumerate(clauses):
-        w = words_of(c)
-        here = langs.scores(w)
-        clause_away = float(here.max() - here[home]) if home >= 0 else 0.0
-        row = x[i]
-        row[0] = 1
-        row[1] = i == 0
-        row[2] = end = i == len(clauses) - 1
-        row[3] = unwilling[i] and speech[i] and not alike
-        row[4] = unwilling[i] and not speech[i] and not alike
-        row[5] = speech[i] and whole_unwilling and not alike
-        row[6] = unwilling[i] and whole_speech and not alike
-        row[7] = bool(SORRY.search(c)) and whole_unwilling and not alike
-        row[8] = alike
-        row[9] = bool(TAIL.search(c))
-        row[10] = covered >= 0.999 and len(said) - len(asked) <= 3 and len(asked) > 0
-        row[11] = sum(t in asked_set for t in w) / len(w) if w else 0
-        row[12] = covered > 0.8
-        row[13] = clause_away > 3
-        row[14] = away > 4
-        row[15] = away > 8
-        row[16] = away < 1
-        row[17] = len(w) <= 2
-        row[18] = len(said) <= 3
-        if end:
-            row[19] = last is not None
-            row[20] = last is not None and last in GO_ON[LANGS[own if own >= 0 else 0]]
-            quote = text.count('"') % 2 == 1 and re.search(r"(?:^|\s)\"\w+$", c.rstrip())
-            row[21] = last is not None and bool(quote or re.search(r"[,:;(\[“«¿¡]$|(?:^|\s)[“«(]\w+$", c.rstrip()))
-            if last is not None and ending is not None:
-                row[22] = breaks_off(*ending)
-                row[23] = ending[0] >= 100 and ending[1] < 0.002 * ending[0]
-        row[24] = bool(TAIL.search(text))
-        row[25] = min(1.0, len(clauses) / 8)
-    return x, clauses
-
-
-def weak_labels(x: np.ndarray) -> np.ndarray:
-    """Labels of an untouched pair for training: sure signs only, else an answer."""
-    y = np.zeros(len(x), int)
-    y[x[:, 14] * x[:, 13] > 0] = 3
-    if (x[:, 3] > 0).any():  # openers and closers of a refusal belong to it
-        y[:] = 1
-    y[(x[:, 20] + x[:, 22]) * x[:, 2] > 0] = 4
-    y[x[:, 10] > 0] = 2
-    return y
-
-
-def train(sample: list[tuple[str, str, int]], langs: Languages) -> LinearChain:
-    """Fit the field on the sample's pairs (question, answer, talk language) and their made defects."""
-    inside, prefix = Counter(), Counter()
-    for q, a, _ in sample:
-        for t in (q, a):
-            inside.update(WORD.findall(plain(t).lower())[:-1])
-    ends = Counter(w[-1] for q, a, _ in sample for t in (q, a) if (w := WORD.findall(plain(t).lower())))
-    for w in set(inside) | {w for w, n in ends.items() if n >= 5}:
-        for k in range(1, len(w)):
-            prefix[w[:k]] += inside[w] + ends[w]
-    look = lambda t: (inside[w], ends[w] or 1, prefix[w]) if (w := last_word(plain(t))) else None
-    rows, tags = [], []
-
-    def add(question, answer, talk, label=None, last_only=False):
-        x, clauses = features(question, answer, langs, talk, look(answer))
-        if not clauses or len(clauses) > SAMPLE_CLAUSES:
-            return
-        y = weak_labels(x)
-        if label is None and not y.any() and x[:, 4:8].any():
-            return  # may be a refusal or not
-        if label is not None:
-            if last_only:
-                y[-1] = label
-            else:
-                y[:] = label
-        rows.append(x)
-        tags.append(y)
-
-    never = sorted(w for w, n in inside.items() if n >= 100 and ends[w] == 0)  # words that end no answer
-    by_lang: dict[int, list[str]] = {}
-    for _, a, talk in sample:
-        by_lang.setdefault(talk, []).append(a)
-    for i, (q, a, talk) in enumerate(sample):
-        seed = zlib.crc32(f"{q}\x00{a}".encode())
-        add(q, a, talk)
-        kind = seed % 4
-        if kind == 0 and q:
-            add(q, q, talk, 2)
-        elif kind == 1:
-            others = [k for k in by_lang if k >= 0 and k != talk]
-            if others and talk >= 0:
-                pool = by_lang[others[seed // 4 % len(others)]]
-                add(q, pool[seed // 64 % len(pool)], talk, 3)
-        elif kind == 2:
-            body = a.rstrip(" .!?…")
-            found = list(WORD.finditer(body))
-            deep = [m for m in found[1:] if len(m.group()) >= 5]
-            if deep:
-                m = deep[seed // 4 % len(deep)]
-                piece = body[: m.start() + 2 + seed // 64 % (len(m.group()) - 3)]
-                state = look(piece)
-                if state and breaks_off(*state):
-                    add(q, piece, talk, 4, last_only=True)
-            if talk >= 0 and len(found) >= 3:
-                go_on = sorted(GO_ON[LANGS[talk]])
-                add(q, f"{body} {go_on[seed // 4 % len(go_on)]}", talk, 4, last_only=True)
-                if seed // 4 % 3 == 0:
-                    add(q, body + (",", ", and:", " (")[seed // 64 % 3], talk, 4, last_only=True)
-                elif never:
-                    add(q, f"{body} {never[seed // 64 % len(never)]}", talk, 4, last_only=True)
-        elif talk >= 0:
-            cores = DECLINE[LANGS[talk]].split("|")
-            core = cores[seed // 4 % len(cores)]
-            add(q, OPENERS[seed // 64 % len(OPENERS)] + core + CLOSERS[seed // 1024 % len(CLOSERS)], talk, 1)
-    batches = []
-    for length in sorted({len(x) for x in rows}):  # of one length each, so nothing is padded
-        same = [i for i, x in enumerate(rows) if len(x) == length]
-        x, mask = padded([rows[i] for i in same], WIDTH)
-        batches.append((x, np.stack([tags[i] for i in same]), mask, np.ones(len(same))))
-    return LinearChain(len(LABELS), WIDTH).fit(batches)
-
-
-def defect(question: str | None, answer: str | None, clauses: list[str], tags) -> str | None:
-    """The first defect that applies, from the clause tags and the exact word checks."""
-    if answer is None or not clauses or MARKER.fullmatch(plain(answer).strip()):
-        return "empty"
-    size = np.array([len(c) for c in clauses], float)
-    share = [float(size[np.asarray(tags) == k].sum() / size.sum()) for k in range(len(LABELS))]
-    asked, said = Counter(words_of(plain(question))), Counter(words_of(plain(answer)))
-    if asked and not asked - said and sum(said.values()) - sum(asked.values()) <= 3:
-        return "copy"
-    if share[1] >= 0.3:
-        return "refusal"
-    if share[3] >= 0.5:
-        return "other_language"
-    if tags[-1] == 4:
-        return "truncated"
-    return None
-
-
-def answers(spark: SparkSession, folder: str, langs_counts: np.ndarray) -> DataFrame:
-    """(tbl, rec_id, pos, question, answer, talk, last) of every answer of both tables."""
-    seeds: dict[str, list[int]] = {}
-    for r in table(spark, folder, "common_words").where("word is not null and lang is not null").collect():
-        if r.lang in LANGS:
-            seeds.setdefault(r.word.lower(), []).append(LANGS.index(r.lang))
+
+    def prefixes(batches):
+        for batch in batches:
+            texts, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for low, high in blocks(texts):
+                flat = Flat(texts[low:high])
+                sizes = np.maximum(flat.stops - flat.starts - 1, 0)  # proper prefixes of each word
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                start = flat.starts[owner]
+                stop = start + np.arange(len(owner)) - (np.cumsum(sizes) - sizes)[owner]
+                h, slot = np.unique(flat.hashes(start, stop), return_inverse=True)
+                n = np.bincount(slot, counts[low:high][owner], minlength=len(h)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    known = words.where("inside > 0 or ends >= 5").select("word", (F.col("inside") + F.col("ends")).alias("n"))
+    longer = known.mapInArrow(prefixes, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("longer"))
+    wanted = words.where("open").select("h").unionByName(spark.createDataFrame([(h,) for h in made], "h bigint")).distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return cut(wanted.join(words.select("h", "inside", "ends"), "h", "left").join(longer, "h", "left").select("h", zero("inside"), zero("ends"), zero("longer")))
+
+
+def answers(spark: SparkSession, folder: str, common: list[tuple[str, str]]) -> DataFrame:
+    """(tbl, rec_id, pos, question, answer, talk, last) of every answer; ``last`` is the hash of an open last word."""
     out = None
     for tbl, frame in sources(spark, folder):
 
         def unfold(batches, tbl=tbl):
+            seeds = CommonWords(common)
             for batch in batches:
-                rows = []
-                for record in batch.to_pylist():
-                    texts = [m["content"] for m in record["messages"] or [] if m and (m["role"] or "").strip().lower() == "user"]
-                    talk = seed_language(texts, seeds)
-                    for pos, q, a in pairs_of(record, tbl):
-                        rows.append((tbl, record["id"], pos, q, a, talk, last_word(plain(a)) if a else None))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()))],
-                        names=["tbl", "rec_id", "pos", "question", "answer", "talk", "last"],
-                    )
-
-        part = frame.mapInArrow(unfold, "tbl string, rec_id string, pos int, question string, answer string, talk int, last string")
+                record, role, content = messages_of(batch)
+                said = content.to_pylist()
+                asks = np.asarray(pc.fill_null(pc.equal(role, "user"), False))
+                users = np.flatnonzero(asks)
+                votes = np.zeros((batch.num_rows, len(LANGS)))
+                if len(users):
+                    votes = reduced(seeds.by_text([plain(said[i]) for i in users]), record[users], batch.num_rows)
+                talk = elected(votes)
+                first = np.searchsorted(record, np.arange(batch.num_rows))
+                if tbl == "example_conversations":
+                    chosen = np.flatnonzero(np.asarray(pc.fill_null(pc.equal(role, "assistant"), False)))
+                    whose, pos = record[chosen], chosen - first[record[chosen]]
+                    near = np.maximum.accumulate(np.where(asks, np.arange(len(asks)), -1))[chosen] if len(chosen) else chosen
+                    asked = [said[q] if q >= f else None for q, f in zip(near, first[whose])]
+                    given = [said[i] for i in chosen]
+                else:
+                    column = batch.column("candidates")
+                    given, whose = column.flatten().to_pylist(), pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
+                    pos = np.arange(len(whose)) - np.searchsorted(whose, whose)
+                    final = np.searchsorted(record, np.arange(batch.num_rows), "right") - 1
+                    asked = [said[q] if q >= f else None for q, f in zip(final[whose], first[whose])]
+                last = np.zeros(len(given), np.int64)
+                is_open = np.zeros(len(given), bool)
+                texts = [plain(t) for t in given]
+                for low, high in blocks(texts):
+                    flat = Flat(texts[low:high])
+                    start, _, h, owner = words_of(flat)
+                    word, is_open[low:high], _ = open_ends(flat, start, owner)
+                    if len(h):
+                        last[low:high] = h.view(np.int64)[np.maximum(word, 0)]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([tbl] * len(given), pa.string()), batch.column("id").take(pa.array(whose)), pa.array(pos.astype(np.int32)), pa.array(asked, pa.string()),
+                        pa.array(given, pa.string()), pa.array(talk[whose].astype(np.int32)), pa.array(last, mask=~is_open),
+                    ],
+                    names=["tbl", "rec_id", "pos", "question", "answer", "talk", "last"],
+                )
+
+        part = frame.mapInArrow(unfold, "tbl string, rec_id string, pos int, question string, answer string, talk int, last bigint")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+class Clauses:
+    """The clauses of a block of answers and their features.
+
+    ``x`` are dense features of each clause, ``bucket`` hashed ones of the clauses ``place``; ``lengths``
+    counts the clauses of each answer, ``weight`` the words of each clause, ``copied`` tells that all words
+    of the question stand in the answer with at most three others.
+    """
+
+    def __init__(self, questions: list[str], given: list[str], talk: np.ndarray, ending: np.ndarray, langs: np.ndarray):
+        n = len(given)
+        a, q = Flat(given), Flat(questions)
+        first, last, h, owner = words_of(a)
+        _, _, qh, q_owner = words_of(q)
+        n_said, n_asked = np.bincount(owner, minlength=n), np.bincount(q_owner, minlength=n)
+        segment = np.cumsum(a.has(PAUSE))[first]
+        fresh = np.ones(len(first), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (segment[1:] != segment[:-1])
+        clause = np.cumsum(fresh) - 1
+        self.owner = owner[fresh]
+        self.lengths = np.bincount(self.owner, minlength=n)
+        count = len(self.owner)
+        self.weight = np.bincount(clause, minlength=count)
+
+        # Words of the question given back.
+        mine = h + owner.astype(np.uint64) * _ODD[0]
+        theirs, at, asked_n = np.unique(qh + q_owner.astype(np.uint64) * _ODD[0], return_index=True, return_counts=True)
+        said, said_n = np.unique(mine, return_counts=True)
+        back, matched = np.zeros(len(h), bool), np.zeros(n)
+        if len(said) and len(theirs):
+            slot = np.minimum(np.searchsorted(said, theirs), len(said) - 1)
+            both = np.where(said[slot] == theirs, np.minimum(asked_n, said_n[slot]), 0)
+            matched = np.bincount(q_owner[at], both, minlength=n)
+            slot = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+            back = theirs[slot] == mine
+        covered = matched / np.maximum(n_asked, 1)
+        self.copied = (n_asked > 0) & (matched == n_asked) & (n_said - n_asked <= 3)
+        echo = np.bincount(clause, back, minlength=count) / np.maximum(self.weight, 1)
+
+        # Languages: how far behind its best one the clause and the answer are in the question's.
+        mask = np.uint64(BUCKETS - 1)
+        here = reduced(langs[(h & mask).astype(np.int64)], clause, count)
+        whole = reduced(here, self.owner, n)
+        asked = reduced(langs[(qh & mask).astype(np.int64)], q_owner, n)
+        order = np.sort(asked, axis=1)
+        home = np.where(order[:, -1] - order[:, -2] > 2, asked.argmax(1), talk)
+        gap = lambda s, of: np.where(of >= 0, s.max(1) - np.take_along_axis(s, np.maximum(of, 0)[:, None], 1)[:, 0], 0.0)
+        clause_away, away = gap(here, home[self.owner]), gap(whole, home)[self.owner]
+
+        word, is_open, core = open_ends(a, first, owner)
+        closing = np.concatenate([self.owner[1:] != self.owner[:-1], [True]]) if count else np.zeros(0, bool)
+        opening = np.concatenate([[True], self.owner[1:] != self.owner[:-1]]) if count else np.zeros(0, bool)
+        end = np.flatnonzero(closing)
+        of = self.owner[end]
+        end, of = end[is_open[of]], of[is_open[of]]  # last clauses of open answers
+        x = self.x = np.zeros((count, DENSE))
+        x[:, 0], x[:, 1], x[:, 2], x[:, 3] = 1, opening, closing, opening & closing
+        x[:, 4], x[:, 5], x[:, 6], x[:, 7] = echo, echo > 0.999, covered[self.owner] > 0.8, self.copied[self.owner]
+        for k, limit in enumerate((1, 3)):
+            x[:, 8 + k] = clause_away > limit
+        for k, limit in enumerate((1, 2, 4, 8, 16)):
+            x[:, 10 + k] = away > limit
+        x[:, 15] = np.minimum(away / np.maximum(n_said[self.owner], 1), 2)
+        x[:, 16], x[:, 17] = self.weight <= 2, n_said[self.owner] <= 3
+        x[end, 18] = 1
+        inside, ends, longer = ending[of].T
+        rarer, inner = np.log2((inside + ends + 0.5) / (longer + 0.5)), np.log2((ends + 0.5) / (inside + 0.5))
+        begins = longer >= 3
+        for k, seen in enumerate((rarer < -1.5, rarer < -4, rarer < -6.6)):
+            x[end, 19 + k] = begins & seen
+            x[end, 22 + k] = begins & seen & (inside == 0)
+        for k, limit in enumerate((-1, -3, -5, -7, -9)):
+            x[end, 25 + k] = inner < limit
+        quotes = a.sums(a.codes == 34)
+        x[end, 30] = quotes[of] % 2
+        w = word[of]
+        x[end, 31] = core[of] > last[w] if len(last) else 0
+        x[:, 32] = np.minimum(self.lengths[self.owner], 8) / 8
+
+        marks = lambda codes, odd: (codes.astype(np.uint64) * odd + odd) * _ODD[0] >> _SHIFT
+        pair = np.flatnonzero(~fresh)
+        parts = [(h * _ODD[1] >> _SHIFT, clause), ((h[pair - 1] * _ODD[2] + h[pair]) * _ODD[1] >> _SHIFT, clause[pair])]
+        if len(end):
+            tail = np.where(core[of] > last[w], a.codes[np.maximum(core[of], 0)], 0)
+            lead = np.where(first[w] > a.starts[of], a.codes[np.maximum(first[w] - 1, 0)], 0)
+            parts += [((h[w] * _ODD[3] >> _LAST) + np.uint64(WORDS), end), (marks(tail, _ODD[4]), end), (marks(lead, _ODD[3]), end)]
+        self.bucket = np.concatenate([b for b, _ in parts]).astype(np.int64)
+        self.place = np.concatenate([p for _, p in parts])
+
+
+def tagged(field: LinearChain, clauses: Clauses, given: list[str]) -> tuple[list[str | None], np.ndarray]:
+    """(defect or null, share of words by tag) of each answer of a block."""
+    n = len(given)
+    tags = field.decode(field.scores(clauses.x, clauses.bucket, clauses.place), clauses.lengths).astype(np.int64)
+    cover = np.bincount(clauses.owner * len(LABELS) + tags, clauses.weight, minlength=n * len(LABELS)).reshape(n, -1)
+    cover /= np.maximum(cover.sum(1, keepdims=True), 1)
+    final = np.zeros(n, bool)
+    closing = np.cumsum(clauses.lengths) - 1
+    some = clauses.lengths > 0
+    final[some] = tags[closing[some]] == UNFINISHED
+    defect: list[str | None] = [None] * n
+    for i in np.flatnonzero(~some | final | (cover[:, REFUSAL:] >= 0.3).any(1)):
+        if not some[i] or cover[i, BLANK] >= 0.5 and MARKER.fullmatch(given[i].strip()):
+            defect[i] = "empty"
+        elif cover[i, ECHO] >= 0.5 and clauses.copied[i]:
+            defect[i] = "copy"
+        elif cover[i, REFUSAL] >= 0.3:
+            defect[i] = "refusal"
+        elif cover[i, FOREIGN] >= 0.5:
+            defect[i] = "other_language"
+        elif final[i]:
+            defect[i] = "truncated"
+    return defect, cover
+
+
+def made_defects(sample: list[tuple[str, str, int]]) -> list[tuple[str, str, int, int, int]]:
+    """(question, answer, talk, label, pair) of defects, and some sound answers, made from the sample's pairs; label 4 holds for the last clause only."""
+    by_lang: dict[int, list[str]] = {}
+    asked: dict[int, list[str]] = {}
+    for q, a, talk in sample:
+        by_lang.setdefault(talk, []).append(a)
+        asked.setdefault(talk, []).append(q)
+    word = re.compile(r"[^\W_]+")
+    out = []
+    for i, (q, a, talk) in enumerate(sample):
+        draw = np.random.default_rng(zlib.crc32(f"{i}\x00{q}\x00{a}".encode()))
+        pick = lambda xs: xs[draw.integers(len(xs))]
+        kind = draw.integers(8)
+        lang = LANGS[talk] if talk >= 0 else "en"
+        if kind == 0:
+            echo = (q, f"{q}.", f"question: {q}", q.upper(), q.title(), f"{q} ok", f"you said {q}", f"{q} ?")
+            out.append((q, pick(echo), talk, ECHO, i))
+        elif kind == 1 and talk >= 0:
+            out.append((q, pick(asked[talk]), talk, ANSWER, i))  # beside the point, but no defect
+            others = [k for k in by_lang if k >= 0 and k != talk]
+            if others:
+                out.append((q, pick(by_lang[pick(others)]), talk, FOREIGN, i))
+        elif kind in (2, 3):
+            found = list(word.finditer(a))
+            deep = [m for m in found[1:] if len(m.group()) >= 4]
+            if deep:
+                m = pick(deep)
+                out.append((q, a[: m.start() + draw.integers(2, len(m.group()))], talk, UNFINISHED, i))
+            # Closing dots, numbers or no final mark alone are no defect.
+            out.append((q, a.rstrip(" .!?…") + pick(("", "...", "…", " …", f" {draw.integers(1, 99)}", "!")), talk, ANSWER, i))
+            if len(found) >= 2:
+                m = pick(found[1:])
+                for more in (1, 2) if lang == "en" else (1, 2, 1, 2):
+                    tail = " ".join(pick(GO_ON[lang]) for _ in range(draw.integers(1, more + 1)))
+                    out.append((q, f"{a[: m.end()]} {tail}{pick(('', '', ' ', '...'))}", talk, UNFINISHED, i))
+                body = a[: m.end()] if draw.random() < 0.5 else a.rstrip(" .!?…")
+                out.append((q, body + pick(DANGLING).replace("{}", pick(found).group()), talk, UNFINISHED, i))
+        elif kind == 4:
+            mark = pick(FRAMES).format(pick(MARKERS))
+            out.append((q, pick((mark, mark.upper(), mark.title())), talk, BLANK, i))
+        elif kind >= 5:
+            before, acts, sentences, openers, closers = (part.split("|") for part in DECLINE[lang])
+            topic = [m.group() for m in word.finditer(q)] or ["that"]
+            for _ in range(2 if lang == "en" else 3):  # languages with few pairs get more of them
+                core = f"{pick(before)} {pick(acts)}" if draw.random() < 0.5 else pick(sentences)
+                text = pick(openers) + core + pick(closers)
+                out.append((q, text.replace("{}", pick(topic)), talk, REFUSAL, i))
+    return out
+
+
+def trained(sample: list[tuple[str, str, int]], made: list[tuple[str, str, int, int, int]], look: dict[int, tuple[int, int, int]], langs: np.ndarray) -> LinearChain:
+    """Fit the field: untouched pairs as sound, made ones by their label, in three rounds."""
+    pairs = [(q, a, talk, ANSWER, i) for i, (q, a, talk) in enumerate(sample)] + made
+    given, asked = [plain(p[1]) for p in pairs], [plain(p[0]) for p in pairs]
+    label, origin = np.array([p[3] for p in pairs]), np.array([p[4] for p in pairs])
+    ending = np.array([look.get(h, (0, 0, 0)) for h in last_hashes(given)], float)
+    ending[len(sample) :, 1] = np.maximum(ending[len(sample) :, 1], 1)  # it ends its own text
+    clauses = Clauses(asked, given, np.array([p[2] for p in pairs]), ending, langs)
+    truth = label[clauses.owner]
+    closing = np.zeros(len(truth), bool)
+    closing[np.cumsum(clauses.lengths)[clauses.lengths > 0] - 1] = True
+    truth[(truth == UNFINISHED) & ~closing] = ANSWER
+    # The first round sees half of the untouched pairs and judges the others, the second sees those found sound and judges
+    # the first half, the third sees all found sound: no unlabelled defect, nor anything made from it, speaks for itself.
+    half = np.arange(len(sample)) % 2 == 0
+    sound = np.ones(len(sample), bool)
+    field = LinearChain(len(LABELS), DENSE, HASHED)
+    for steps, seen in zip(STEPS, (half, ~half, half | ~half)):
+        keep = (label != ANSWER) | (seen & sound)[origin]
+        rows = keep[clauses.owner]
+        place = np.cumsum(rows) - 1
+        used = rows[clauses.place]
+        field.fit(clauses.x[rows], clauses.bucket[used], place[clauses.place[used]], truth[rows], clauses.lengths[keep], steps, loose=WORDS)
+        defect, _ = tagged(field, clauses, given)
+        sound = np.where(seen, sound, [d is None for d in defect[: len(sample)]])
+    return field
+
+
+def last_hashes(texts: list[str]) -> list[int]:
+    """Hash of each text's open last word; 0 for closed texts."""
+    out = []
+    for low, high in blocks(texts):
+        flat = Flat(texts[low:high])
+        first, _, h, owner = words_of(flat)
+        word, is_open, _ = open_ends(flat, first, owner)
+        out += [int(h.view(np.int64)[w]) if o else 0 for w, o in zip(word, is_open)]
+    return out
+
+
 def sampled(pairs: DataFrame) -> list[tuple[str, str, int]]:
-    """The ``SAMPLE`` pairs with the smallest hashes among those of bounded length."""
-    short = pairs.where(f"question is not null and answer is not null and length(question) + length(answer) <= {SAMPLE_CHARS}")
+    """The ``SAMPLE`` pairs with the smallest hashes among those of bounded length that have words on both sides."""
+    short = pairs.where(rf"question rlike '\\w' and answer rlike '\\w' and length(question) + length(answer) <= {SAMPLE_CHARS}")
     best = short.orderBy(F.xxhash64("tbl", "rec_id", "pos"), "tbl", "rec_id", "pos").limit(SAMPLE)
     return [(r.question, r.answer, r.talk) for r in best.select("question", "answer", "talk").collect()]
 
 
-def with_endings(pairs: DataFrame, known: DataFrame, hot_share: int = 1000, salts: int = 4096) -> DataFrame:
-    """Adds (inside, ends, longer) of the last word; null where it can't matter.
+def with_endings(pairs: DataFrame, known: DataFrame, hot_share: int = 1000) -> DataFrame:
+    """Adds (inside, ends, longer) of the open last word; null for closed answers.
 
     Words that end more than 1/``hot_share`` of the open texts are fewer than ``hot_share`` and are
     broadcast. One shuffle join serves the other words; rows that need nothing from it (closed
     answers, hot words) get keys of their own, so that no task takes them all.
     """
-    doubtful = known.where("longer >= 3 or inside >= 100")  # all other words cannot break off
     total = known.agg(F.sum("ends").alias("total"))
-    hot = doubtful.join(F.broadcast(total), F.col("ends") * hot_share > F.col("total")).select(
-        F.col("word").alias("last"), F.struct("inside", "ends", "longer").alias("hot")
-    )
+    stats = F.struct("inside", "ends", "longer")
+    hot = known.join(F.broadcast(total), F.col("ends") * hot_share > F.col("total")).select(F.col("h").alias("last"), stats.alias("hot"))
     first = pairs.join(F.broadcast(hot), "last", "left")
-    apart = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("rec_id", "pos"), F.lit(salts)).cast("string"))
-    keyed = first.withColumn("word", F.when(F.col("last").isNull() | F.col("hot").isNotNull(), apart).otherwise(F.col("last")))
-    rest = doubtful.select("word", F.struct("inside", "ends", "longer").alias("cold"))
-    both = keyed.join(rest, "word", "left").withColumn("e", F.coalesce("hot", "cold"))
-    return both.select("tbl", "rec_id", "pos", "question", "answer", "talk", "e.inside", "e.ends", "e.longer")
+    apart = F.col("last").isNull() | F.col("hot").isNotNull()
+    keyed = first.withColumn("h", F.when(apart, F.xxhash64("tbl", "rec_id", "pos")).otherwise(F.col("last")))
+    both = keyed.join(known.select("h", stats.alias("cold")).hint("merge"), "h", "left")
+    e = F.when(F.col("last").isNotNull(), F.coalesce("hot", "cold"))
+    return both.withColumn("e", e).select("tbl", "rec_id", "pos", "question", "answer", "talk", "e.inside", "e.ends", "e.longer")
+
+
+def field_of(spark: SparkSession, folder: str):
+    """(field, language table, endings, pairs): the trained tagger and what it needs."""
+    common = common_words(spark, folder)
+    words = vocabulary(spark, folder, common)
+    langs = language_table(words)
+    pairs = answers(spark, folder, common)
+    sample = sampled(pairs)
+    made = made_defects(sample)
+    wanted = {h for h in last_hashes([plain(a) for _, a, *_ in sample + made]) if h}
+    known = endings(spark, words, sorted(wanted))
+    look = {}
+    if wanted:  # no more than a few for each pair of the sample
+        asked = F.broadcast(spark.createDataFrame([(h,) for h in sorted(wanted)], "h bigint"))
+        look = {r.h: (r.inside, r.ends, r.longer) for r in known.join(asked, "h", "left_semi").collect()}
+    field = trained(sample, made, look, langs) if sample else LinearChain(len(LABELS), DENSE, HASHED)
+    return field, langs, known, pairs
 
 
 def p2_tagged(spark: SparkSession, folder: str) -> DataFrame:
-    """(tbl, rec_id, pos, defect, n_clauses): every answer; defect null for sound ones."""
-    counts = language_counts(spark, folder).astype(np.float32)
-    langs = Languages(counts)
-    pairs = answers(spark, folder, counts)
-    sample = sampled(pairs)
-    field = train(sample, langs) if sample else LinearChain(len(LABELS), WIDTH)
-    joined = with_endings(pairs, cut(endings(spark, folder)))
+    """(tbl, rec_id, pos, defect, n_clauses, refusal, echo, foreign, unfinished): every answer with the share of its words under each tag."""
+    field, langs, known, pairs = field_of(spark, folder)
+    names = ("refusal", "echo", "foreign", "unfinished")
 
     def tag(batches):
-        model = Languages(counts)
         for batch in batches:
-            rows = batch.to_pylist()
-            xs, parts = [], []
-            for r in rows:
-                ending = (r["inside"], r["ends"], r["longer"]) if r["inside"] is not None else None
-                x, clauses = features(r["question"], r["answer"] or "", model, r["talk"], ending)
-                xs.append(x)
-                parts.append(clauses)
-            some = [i for i, x in enumerate(xs) if len(x)]
-            tags: dict[int, np.ndarray] = {}
-            some.sort(key=lambda i: len(xs[i]))
-            for at in range(0, len(some), 256):  # of like lengths, so that padding stays small
-                ids = some[at : at + 256]
-                x, mask = padded([xs[i] for i in ids], WIDTH)
-                for i, path in zip(ids, field.decode(x, mask)):
-                    tags[i] = path[: len(xs[i])]
-            found = [defect(r["question"], r["answer"], parts[i], tags.get(i, ())) for i, r in enumerate(rows)]
+            asked, given = ([plain(t) for t in batch.column(c).to_pylist()] for c in ("question", "answer"))
+            talk = batch.column("talk").to_numpy()
+            ending = np.stack([batch.column(c).fill_null(0).to_numpy() for c in ("inside", "ends", "longer")], 1).astype(float)
+            found, parts, shares = [], [], []
+            for low, high in blocks([*map(str.__add__, asked, given)]):
+                clauses = Clauses(asked[low:high], given[low:high], talk[low:high], ending[low:high], langs)
+                defect, cover = tagged(field, clauses, given[low:high])
+                found += defect
+                parts.append(clauses.lengths)
+                shares.append(cover)
+            if not found:
+                continue
+            cover = np.concatenate(shares)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([r["tbl"] for r in rows], pa.string()),
-                    pa.array([r["rec_id"] for r in rows], pa.string()),
-                    pa.array([r["pos"] for r in rows], pa.int32()),
-                    pa.array(found, pa.string()),
-                    pa.array([len(p) for p in parts], pa.int32()),
+                    *(batch.column(c) for c in ("tbl", "rec_id", "pos")), pa.array(found, pa.string()), pa.array(np.concatenate(parts).astype(np.int32)),
+                    *(pa.array(cover[:, LABELS.index(k)]) for k in names),
                 ],
-                names=["tbl", "rec_id", "pos", "defect", "n_clauses"],
-            )
+                names=["tbl", "rec_id", "pos", "defect", "n_clauses", *names],
+            )
 
-    return joined.mapInArrow(tag, "tbl string, rec_id string, pos int, defect string, n_clauses int")
+    schema = "tbl string, rec_id string, pos int, defect string, n_clauses int, " + ", ".join(f"{k} double" for k in names)
+    return with_endings(pairs, known).mapInArrow(tag, schema)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 
 from talkmill.llm import p1_talks, p2_defects, p3_splits, p4_leaks, p5_copies, p6_packing, p7_mixing, p8_quality
-from talkmill.llm.crf import LinearChain, padded
+from talkmill.llm.crf import LinearChain, Sparse, groups
+from talkmill.llm.flat import Flat, blocks, word_hashes
 
 MSG = "array<struct<role:string,content:string>>"
 CAND = "array<struct<content:string,scores:map<string,double>,score:double,source:string>>"
@@ -373,29 +374,97 @@ def test_p8_sums_do_not_depend_on_chunks(spark, folder, monkeypatch):
 def test_crf_learns_order():
     rng = np.random.default_rng(0)
     seqs = [rng.integers(0, 2, rng.integers(2, 6)) for _ in range(300)]
-    x = [np.eye(2)[s] for s in seqs]
-    y = [np.r_[0, s[:-1]] for s in seqs]  # the label is the symbol before: emissions alone can't tell
-    batches = []
-    for n in sorted({len(s) for s in seqs}):
-        ids = [i for i, s in enumerate(seqs) if len(s) == n]
-        a, mask = padded([np.c_[x[i], np.vstack([[0, 0], x[i][:-1]])] for i in ids], 4)
-        batches.append((a, np.stack([y[i] for i in ids]), mask, np.ones(len(ids))))
-    field = LinearChain(2, 4).fit(batches)
-    assert all((field.decode(a, mask) == t).mean() > 0.95 for a, t, mask, _ in batches)
-    a, t, mask, w = batches[1]
-    field = LinearChain(2, 4)
-    for p in field.parts():
-        p += rng.normal(size=p.shape)
-    score = lambda: sum(
-        field.start[s[0]] + field.end[s[-1]] + sum(field.emit[k] @ v for k, v in zip(s, e)) + sum(field.move[i, j] for i, j in zip(s, s[1:]))
-        - np.log(sum(np.exp(field.start[z[0]] + field.end[z[-1]] + sum(field.emit[k] @ v for k, v in zip(z, e)) + sum(field.move[i, j] for i, j in zip(z, z[1:]))) for z in itertools.product((0, 1), repeat=len(s))))
-        for s, e in zip(t, a)
-    )
-    for p, g in zip(field.parts(), field.gradient(a, t, mask, w)):
-        at = tuple(0 for _ in p.shape)
-        before = score()
-        p[at] += 1e-5
-        assert abs((score() - before) / 1e-5 - g[at]) < 1e-2
-        p[at] -= 1e-5
+    lengths = np.array([len(s) for s in seqs])
+    symbols = np.concatenate(seqs)
+    y = np.concatenate([np.r_[0, s[:-1]] for s in seqs])  # the label is the symbol before
+    before = np.concatenate([np.r_[2, s[:-1]] for s in seqs])
+    place = np.arange(len(symbols))
+    x = np.eye(2)[symbols]
+    field = LinearChain(2, 2, 3).fit(x, before, place, y, lengths)
+    assert (field.decode(field.scores(x, before, place), lengths) == y).mean() > 0.95
 
 
+def test_crf_gradient_and_best_path_match_enumeration():
+    rng = np.random.default_rng(1)
+    lengths = np.array([3, 1, 4])
+    n = lengths.sum()
+    x, y = rng.normal(size=(n, 3)), rng.integers(0, 2, n)
+    bucket, place = rng.integers(0, 4, 12), np.sort(rng.integers(0, n, 12))
+    field = LinearChain(2, 3, 4)
+    for p in field.parts():
+        p += rng.normal(size=p.shape)
+    paths = lambda size: itertools.product((0, 1), repeat=int(size))
+
+    def value(scores, z):
+        return field.start[z[0]] + field.end[z[-1]] + sum(scores[i, k] for i, k in enumerate(z)) + sum(field.move[i, j] for i, j in zip(z, z[1:]))
+
+    def likelihood():
+        scores, total, at = field.scores(x, bucket, place), 0.0, 0
+        for size in lengths:
+            part = scores[at : at + size]
+            total += value(part, y[at : at + size]) - np.log(sum(np.exp(value(part, z)) for z in paths(size)))
+            at += size
+        return total
+
+    for p, g in zip(field.parts(), field.gradient(x, Sparse(bucket, place, n, 4), y, lengths, list(groups(lengths)))):
+        for at in np.ndindex(p.shape):
+            low = likelihood()
+            p[at] += 1e-5
+            assert abs((likelihood() - low) / 1e-5 - g[at]) < 1e-2
+            p[at] -= 1e-5
+    scores, at = field.scores(x, bucket, place), 0
+    tags = field.decode(scores, lengths)
+    for size in lengths:
+        best = max(paths(size), key=lambda z: value(scores[at : at + size], z))
+        assert tuple(tags[at : at + size]) == best
+        at += size
+
+
+def test_flat_words_and_hashes_match_a_loop():
+    rng = random.Random(5)
+    alphabet = "ab'’É1 .\n\t-ß\U00020000\u200b"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(200)] + ["", "x" * 300_000]
+    seen = []
+    for low, high in blocks(texts, 100):
+        flat = Flat(texts[low:high])
+        first, last = flat.words()
+        hashes = flat.hashes(first, last)
+        owner = np.searchsorted(flat.stops, first)
+        for i, text in enumerate(texts[low:high]):
+            words = re.findall(r"[abÉß\U00020000x]+(?:['’][abÉß\U00020000x]+)*", text)
+            mine = owner == i
+            assert [flat.text[f : e + 1] for f, e in zip(first[mine], last[mine])] == words
+            if words:
+                assert list(hashes[mine]) == list(word_hashes(words)) == list(word_hashes([w.lower() for w in words]))
+        seen += list(range(low, high))
+    assert seen == list(range(len(texts)))
+
+
+def test_p2_field_needs_its_words_and_its_chain(spark, folder):
+    """Phrases, words and statistics are learnt: made defects kept out of training are told from sound answers."""
+    rng = random.Random(12)
+    sound = ["we walked to the {} before noon", "my aunt keeps a {} in the garden", "i think the {} was fine. did you see it?", "that sounds lovely, a {} is never wrong"]
+    nouns = "lantern kettle ladder blanket basket violin cupboard suitcase curtain bicycle pancake teapot".split()
+    pairs = [(rng.choice(sound).format(rng.choice(nouns)), rng.choice(sound).format(rng.choice(nouns)), 0) for _ in range(400)]
+    made = p2_defects.made_defects(pairs)
+    assert {m[3] for m in made} >= {0, 1, 2, 4, 5} and made == p2_defects.made_defects(pairs)
+    held, train = made[::4], [m for i, m in enumerate(made) if i % 4]
+    langs = np.zeros((p2_defects.BUCKETS, 6), np.float32)
+    counts = {}
+    for text in [t for q, a, _ in pairs for t in (q, a)]:
+        words = re.findall(r"\w+", text)
+        for i, h in enumerate(word_hashes(words).view(np.int64)):
+            was = counts.get(int(h), (0, 0, 0))
+            counts[int(h)] = (was[0] + (i + 1 < len(words)), was[1] + (i + 1 == len(words)), was[2])
+        for w in words:
+            for k in range(1, len(w)):
+                h = int(word_hashes([w[:k]]).view(np.int64)[0])
+                was = counts.get(h, (0, 0, 0))
+                counts[h] = (*was[:2], was[2] + 1)
+    field = p2_defects.trained(pairs, train, counts, langs)
+    given = [p2_defects.plain(m[1]) for m in held]
+    ending = np.array([counts.get(h, (0, 0, 0)) for h in p2_defects.last_hashes(given)], float)
+    clauses = p2_defects.Clauses([p2_defects.plain(m[0]) for m in held], given, np.zeros(len(held), int), ending, langs)
+    found, _ = p2_defects.tagged(field, clauses, given)
+    want = [(None, "refusal", "copy", "other_language", "truncated", "empty")[m[3]] for m in held]
+    assert sum(a == b for a, b in zip(found, want)) > 0.85 * len(want)
