@@ -8,13 +8,14 @@ Aho-Corasick pass over each text, and each hit is verified by Myers' bit-paralle
 distance between the item's windows around the piece and the text around the hit.
 
 The texts are never shuffled: the items (a fixed set, 300 here) go to every task in
-blocks of at most ``ITEM_BLOCK`` items, whose size is checked; more items mean more
-passes, not a larger broadcast.
+blocks of at most ``ITEM_BLOCK`` items and ``ITEM_CHARS`` characters (an item above that is a
+block alone); more items mean more passes, not a larger broadcast. The driver holds one block
+at a time: with more than one, each pass is written before the next block is read.
 
 Defined results: words are runs of letters and digits after NFKC, lower case, and removal
 of apostrophes and invisible characters; a null or blank text or item has no words; items
 with fewer than ``run`` words can't leak; null identifiers are skipped; equal items each
-count; a run never crosses messages; extra columns are not read; empty tables give no rows.
+count; a run crosses neither messages nor the two columns of an item, with or without edits; extra columns are not read; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from talkmill.plans.lineage import cut
 from talkmill.sources.tables import table
 
 ITEM_BLOCK = 20_000
+ITEM_CHARS = 32_000_000
 #: Stands between messages; a word of its own that no item can hold.
 BREAK = "\x00"
 #: Removed before words are cut: apostrophes of all shapes.
@@ -89,9 +92,10 @@ class Matcher:
         import ahocorasick
 
         self.run, self.budget = run, budget
-        self.words = {i: word_text(text).split() for i, text in items}
+        self.items = [i for i, _ in items]
+        self.words = [word_text(text).split() for _, text in items]
         places: dict[str, list[tuple[int, int]]] = {}
-        for i, words in self.words.items():
+        for i, words in enumerate(self.words):
             if len(words) >= run:
                 for start, size in pieces(words, run, budget):
                     places.setdefault(f" {' '.join(words[start : start + size])} ", []).append((i, start))
@@ -111,15 +115,20 @@ class Matcher:
         run, budget = self.run, self.budget
         for end, (chars, size, at) in self.automaton.iter(plain):
             around = None
-            for item, start in at:
+            for entry, start in at:
+                item = self.items[entry]
                 if found.get(item) == 0:
                     continue
                 if around is None:  # the words of the text that a window with the piece can reach
                     first = end + 1 - chars
                     reach = run + budget - size
                     left, right = before(plain, first + 1, reach), after(plain, end, reach)
+                    if BREAK in left:
+                        left = left[len(left) - left[::-1].index(BREAK) :]
+                    if BREAK in right:
+                        right = right[: right.index(BREAK)]
                     around = [*left, *plain[first + 1 : end].split(" "), *right]
-                words = self.words[item]
+                words = self.words[entry]
                 if budget == 0 and run > size:  # an exact longer run also has the word on one side of the piece
                     stop = start + size
                     if not (
@@ -184,27 +193,33 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def held_out(spark: SparkSession, folder: str) -> list[list[tuple[int, str]]]:
-    """The held-out passages in blocks of at most ``ITEM_BLOCK`` items."""
+def held_out(spark: SparkSession, folder: str) -> Iterator[list[tuple[int, str]]]:
+    """The held-out passages (item_id, text) in blocks; an item with both columns gives two."""
     frozen = table(spark, folder, "elaboration_frozen").where("item_id is not null")
-    text = F.concat_ws(f" {BREAK} ", "known", "unknown")
-    rows = frozen.select("item_id", text.alias("text")).where("text <> ''")
-    block, blocks = [], []
+    texts = frozen.select("item_id", F.explode(F.array("known", "unknown")).alias("text")).where("text is not null")
+    rows = texts.select("item_id", F.translate("text", BREAK, " ").alias("text"))
+    block, size = [], 0
     for row in rows.toLocalIterator():
+        if block and (len(block) == ITEM_BLOCK or size + len(row.text) > ITEM_CHARS):
+            yield block
+            block, size = [], 0
         block.append((row.item_id, row.text))
-        if len(block) == ITEM_BLOCK:
-            blocks.append(block)
-            block = []
-    return blocks + [block] if block or not blocks else blocks
+        size += len(row.text)
+    yield block
 
 
 def p4_leaks(spark: SparkSession, folder: str, run: int = 8, budget: int = 1) -> DataFrame:
     """(tbl, rec_id, item_id, errors): records with a run of an item under at most ``budget`` word edits."""
-    out = None
-    for block in held_out(spark, folder):
+    blocks = held_out(spark, folder)
+    out, block = None, next(blocks)
+    while block is not None:
+        following = next(blocks, None)
         part = leaks(records(spark, folder), block, run, budget)
+        if out is not None or following is not None:
+            part = cut(part)
         out = part if out is None else out.unionByName(part)
-    return out
+        block = following
+    return out if out is part else out.groupBy("tbl", "rec_id", "item_id").agg(F.min("errors").alias("errors"))  # an item's columns may be in two blocks
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -247,6 +247,27 @@ def test_p4(spark, folder):
     assert loose["11", 1] == 1 and loose["10", 4] == 0
 
 
+def test_p4_edits_do_not_cross_messages_or_columns(spark, folder):
+    item = "one two three four five six seven eight"
+    items = [(1, item, None, "x"), (2, "alpha beta gamma delta", "epsilon zeta eta theta", "x"), (3, item, "red lamp under nine old green garden chairs", "x")]
+    talks = [("split", None, [("user", "one two three four"), ("user", "five six seven eight")], None, None, None, "x"), ("whole", None, [("user", "so one two three cake five six seven eight")], None, None, None, "x"),
+             ("both", None, [("user", "alpha beta gamma delta epsilon zeta eta theta")], None, None, None, "x"), ("second", None, [("user", "x"), ("user", "red lamp under nine old green garden chairs")], None, None, None, "x")]
+    d = folder(elaboration_frozen=items, example_conversations=talks)
+    got = {(r.rec_id, r.item_id, r.errors) for r in p4_leaks.p4_leaks(spark, d).collect()}
+    assert got == {("whole", 1, 1), ("whole", 3, 1), ("second", 3, 0)}
+
+
+def test_p4_blocks_of_items_give_the_same_rows(spark, folder, monkeypatch):
+    words = [f"w{i}" for i in range(40)]
+    items = [(k, " ".join(words[k : k + 9]), " ".join(words[k + 1 : k + 12]), "x") for k in range(20)]
+    docs = [(k, " ".join(words[k : k + 10 + k % 3]), None, None, "x") for k in range(30)]
+    d = folder(elaboration_frozen=items, documents=docs)
+    read = lambda: sorted(map(tuple, p4_leaks.p4_leaks(spark, d).select("tbl", "rec_id", "item_id", "errors").collect()))
+    whole = read()
+    monkeypatch.setattr(p4_leaks, "ITEM_BLOCK", 7)
+    assert read() == whole and len(whole) > 30
+
+
 def test_p4_myers_matches_table():
     rng = random.Random(3)
     for _ in range(200):
@@ -324,6 +345,21 @@ def test_p7_flight_keeps_balance():
     assert abs(p.sum() - 120) < 1e-6 and abs((p * tokens).sum() - 0.3 * tokens.sum()) < 1e-4 and ((p > 0) & (p < 1)).sum() <= 2
 
 
+def test_p7_heavy_tail_reaches_its_shares(spark, folder):
+    """Two documents far larger than the others are decided in flight; what is left is balanced to a document."""
+    rng = random.Random(11)
+    for seed in range(12):
+        sizes = np.array([rng.randint(20, 800) for _ in range(302)] + [7000, 9000])
+        p = p7_mixing.flight(np.full(304, 0.5), sizes, np.random.default_rng(seed), p7_mixing.LANDING)
+        inside = np.flatnonzero((p > 0) & (p < 1))
+        assert len(inside) <= p7_mixing.LANDING and sizes[inside].max() < 900
+        assert abs((p * sizes).sum() - sizes.sum() / 2) < 1e-3 and abs(p.sum() - 152) < 1e-6
+    docs = [(i, " ".join(["word"] * (3000 if i % 100 == 0 else rng.randint(5, 60))), None, "ab"[i % 2], "x") for i in range(600)]
+    d = folder(documents=docs, mix_targets=[("a", 0.35, 1), ("b", 0.65, 1)])
+    shares = {r.source: r.actual_share for r in p7_mixing.p7_shares(spark, d).collect()}
+    assert abs(shares["a"] - 0.35) < 0.001 and abs(shares["b"] - 0.65) < 0.001
+
+
 def test_p8(spark, folder, monkeypatch):
     words = "soup lamp anna bus cake tent rope tile plum oven lane boat pear sofa mug kite door rice hat pie wall".split()
     prose = "It was a quiet day and we talked about the rain. Nobody knew why the lamp was on, but it is fine. " * 3
