@@ -78,15 +78,67 @@ def talk_metrics(facts: DataFrame) -> DataFrame:
 def self_overlap(facts: DataFrame) -> DataFrame:
     """(id, overlap_pairs, overlap): mean Jaccard of the bigram sets over the pairs of replies of a talk.
 
-    The pairs are counted through their shared bigrams and set sizes, inside one talk only,
-    whose number of replies the reject rules bound.
+    Only pairs that share a bigram are joined, on (talk, bigram); all others have similarity 0 and are counted by
+    arithmetic. So a long talk is spread over its bigrams, and talks of unlike replies cost little.
     """
     sets = facts.select("id", "n", F.array_distinct(ngrams("w", 2)).alias("g")).where("size(g) > 0")
-    a, b = sets.alias("a"), sets.alias("b")
-    pairs = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.n") < F.col("b.n")))
-    return pairs.groupBy(F.col("a.id").alias("id")).agg(
-        F.count(F.lit(1)).alias("overlap_pairs"), F.avg(jaccard(F.col("a.g"), F.col("b.g"))).alias("overlap")
+    post = sets.select("id", "n", F.size("g").alias("size"), F.explode("g").alias("g"))
+    a, b = post.alias("a"), post.alias("b")
+    shared = a.join(b, (F.col("a.id") == F.col("b.id")) & (F.col("a.g") == F.col("b.g")) & (F.col("a.n") < F.col("b.n")))
+    common = shared.groupBy(F.col("a.id").alias("id"), F.col("a.n").alias("x"), F.col("b.n").alias("y")).agg(
+        F.count(F.lit(1)).alias("c"), F.first("a.size").alias("sa"), F.first("b.size").alias("sb")
     )
+    near = common.groupBy("id").agg(F.sum(F.col("c") / (F.col("sa") + F.col("sb") - F.col("c"))).alias("s"))
+    counts = sets.groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k >= 2")
+    pairs = (F.col("k") * (F.col("k") - 1) / 2).cast("bigint")
+    return counts.join(near, "id", "left").select("id", pairs.alias("overlap_pairs"), (F.coalesce("s", F.lit(0.0)) / pairs).alias("overlap"))
+
+
+def transcript_metrics(facts: DataFrame) -> DataFrame:
+    """The fourteen metrics of each talk. ``facts`` should be written once (see ``cut``)."""
+    m = talk_metrics(facts).join(self_overlap(facts).select("id", "overlap"), "id", "left")
+    n = F.col("num_turns")
+    return m.select(
+        "id", "num_turns", "max_len", (F.col("words") / n).alias("mean_len"), ratio(F.col("in_band"), n).alias("len_in_3_25"), "distinct_1", "distinct_2",
+        F.col("distinct_1").alias("ttr"), F.coalesce("overlap", F.lit(0.0)).alias("self_overlap"), "mean_rep_ngram", ratio(F.col("questions"), n).alias("question_ratio"),
+        "mean_copy_ratio", F.col("loop").cast("double").alias("loop"), ratio(F.col("ai_style"), n).alias("ai_style_rate"), F.col("excessive_questions").cast("double").alias("excessive_questions"),
+    )
+
+
+def clean_prefixes(facts: DataFrame, upto: int) -> DataFrame:
+    """(id, clean) of the talks of at least ``upto`` replies: nothing broken and no loop in the first ``upto``."""
+    head = facts.where(F.col("n") <= upto)
+    long = head.groupBy("id").agg(F.max("n").alias("n"), F.max(F.size("broken_reasons") > 0).alias("bad")).where(F.col("n") >= upto)
+    return long.join(looped(facts, upto), "id").select("id", (~F.col("bad") & ~F.col("loop")).alias("clean"))
+
+
+def summary(facts: DataFrame) -> DataFrame:
+    """One row: means of the metrics over the talks, and rates over talks, replies and prefixes of 5 and 10 replies."""
+    metrics = transcript_metrics(facts)
+    means = [F.avg(c).alias(c) for c in metrics.columns if c not in ("id", "num_turns", "max_len")]
+    rates = facts.groupBy("id").agg(F.count(F.lit(1)).alias("t"), F.count_if(F.size("broken_reasons") > 0).alias("b"), F.count_if("ungrammatical").alias("u"))
+    whole = rates.agg(
+        ratio(F.sum("b"), F.sum("t")).alias("broken_turn_rate"), ratio(F.count_if(F.col("b") == 0), F.count(F.lit(1))).alias("clean_conversation_rate"),
+        (1 - F.sum("u") / F.sum("t")).alias("grammatical_rate"),
+    )
+    out = metrics.agg(F.count(F.lit(1)).alias("scenarios"), F.sum("num_turns").alias("turns"), *means).crossJoin(whole)  # one row each
+    for upto in (5, 10):
+        out = out.crossJoin(clean_prefixes(facts, upto).agg(ratio(F.count_if("clean"), F.count(F.lit(1))).alias(f"clean_{upto}turn_rate")))
+    return out
+
+
+def length_summary(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Mean, median, the value at place 0.9 n and band shares of a whole number per key, from counts of its distinct values."""
+    counts = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("upto", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(key)))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
+    half = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    share = lambda low, high: ratio(F.sum(F.when(F.col(value).between(low, high), F.col("c")).otherwise(0)), F.first("n"))
+    return placed.groupBy(key).agg(
+        F.first("n").alias("n"), (F.sum(F.col(value) * F.col("c")) / F.first("n")).alias("mean"), ((at(half[0]) + at(half[1])) / 2).alias("median"),
+        at(F.floor(F.col("n") * 0.9)).alias("p90"), share(1, 1).alias("frac_1_word"), share(2, 12).alias("frac_2_12"), share(13, 30).alias("frac_13_30"), share(31, 1 << 30).alias("frac_over_30"),
+    )
 
 
 def run_probes(probes: DataFrame, replies: DataFrame) -> DataFrame:
