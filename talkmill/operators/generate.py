@@ -69,3 +69,42 @@ def partition_pool(pool: DataFrame, column: str) -> DataFrame:
 
     place = F.row_number().over(Window.orderBy(column)) - 1
     return pool.select(column, F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test")), (place % 3 + 1).cast("int")).alias("part"))
+
+
+def core_examples(spark: SparkSession, intents: DataFrame, held: DataFrame, n: int, seed: int = 1337) -> DataFrame:
+    """(k, intent, prompt, reply): an intent by weight (5 - tier), one of its paraphrases with noise, and its target behind a length mark.
+
+    Prompts whose surface form is in ``held`` (surface) are left out, so that no benchmark prompt is trained on.
+    ``intents`` and ``held`` are small fixed tables.
+    """
+    from pyspark.sql import Window
+
+    from talkmill.functions.normalize import surface
+
+    u = lambda name: uniform(F.col("k"), name, seed)
+    weighted = intents.where("size(train) > 0").select("name", "length", "targets", "train", (5 - F.col("tier")).cast("double").alias("w"))
+    upto = F.sum("w").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.sum("w").over(Window.partitionBy(F.lit(1)))
+    bounds = weighted.withColumn("hi", upto / whole).withColumn("lo", (upto - F.col("w")) / whole)
+    rows = spark.range(n).withColumnRenamed("id", "k").withColumn("__u", u("intent"))
+    drawn = rows.join(F.broadcast(bounds), (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi")))  # an interval join with a fixed table
+    text = F.get("train", F.floor(u("paraphrase") * F.size("train")).cast("int"))
+    drawn = drawn.withColumn("t", text)
+    for column in noise_steps(u):
+        drawn = drawn.withColumn("t", column)
+    reply = F.concat(F.lit("<|len_"), "length", F.lit("|> "), F.get("targets", F.lit(0)))
+    made = drawn.withColumn("surface", surface(F.col("t"))).join(F.broadcast(held), "surface", "left_anti")
+    return made.select("k", F.col("name").alias("intent"), F.col("t").alias("prompt"), reply.alias("reply"))
+
+
+def noise_steps(u, fillers: Sequence[str] = ("so ", "ok so ", "hey ", "right "), tails: Sequence[str] = (" lol", " haha", " though", "!")) -> list[Column]:
+    """Noise on column ``t``, one step after another: filler .30, tail .25, end marks off .15, capitals .10 or .12 of the rest, a letter doubled .06."""
+    t = F.col("t")
+    at = 1 + F.floor(u("which letter") * (F.length(t) - 2)).cast("int")
+    return [
+        F.when(u("filler") < 0.30, F.concat(pick(u("which filler"), fillers), t)).otherwise(t),
+        F.when(u("tail") < 0.25, F.concat(t, pick(u("which tail"), tails))).otherwise(t),
+        F.when(u("strip") < 0.15, F.regexp_replace(t, r"[?!.]+$", "")).otherwise(t),
+        F.when(u("case") < 0.10, F.upper(t)).when(u("case") < 0.208, F.concat(F.upper(F.substr(t, F.lit(1), F.lit(1))), F.substr(t, F.lit(2)))).otherwise(t),
+        F.when((u("double") < 0.06) & (F.length(t) > 5), F.concat(F.substr(t, F.lit(1), at + 1), F.substr(t, at + 1))).otherwise(t),
+    ]

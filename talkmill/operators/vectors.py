@@ -42,3 +42,26 @@ def linear_probe(rows: DataFrame, label: str, vector: str, seed_column: str, hel
     right = model.transform(test).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).head()[0]
     top = test.groupBy("label").count().agg(F.max("count") / F.sum("count")).head()[0]
     return model, right, top
+
+
+def direction_cosines(rows: DataFrame, label: str, vector: str) -> DataFrame:
+    """(a, b, cosine): cosines of the labels' unit directions, a label's mean minus the mean of all. Labels are few."""
+    lifts = centroids(rows, label, vector).select(F.col(label).alias("l"), "dim", "lift")
+    norms = lifts.groupBy("l").agg((F.sqrt(F.sum(F.col("lift") * F.col("lift"))) + 1e-6).alias("norm"))
+    unit = lifts.join(norms, "l").select("l", "dim", (F.col("lift") / F.col("norm")).alias("u"))
+    a, b = unit.alias("a"), unit.alias("b")
+    pairs = a.join(b, (F.col("a.dim") == F.col("b.dim")) & (F.col("a.l") < F.col("b.l")))
+    return pairs.groupBy(F.col("a.l").alias("a"), F.col("b.l").alias("b")).agg(F.sum(F.col("a.u") * F.col("b.u")).alias("cosine"))
+
+
+def int4(rows: DataFrame, vector: str) -> DataFrame:
+    """Adds ``scale``, ``packed`` (two 4-bit codes a byte, the first one low, offset by 8) and ``max_error`` after unpacking."""
+    scale, codes = quantized(vector, 4)
+    staged = rows.withColumn("scale", scale).withColumn("__c", codes)
+    pairs = F.sequence(F.lit(0), F.floor((F.size("__c") + 1) / 2).cast("int") - 1)
+    low, high = lambda i: F.get("__c", i * 2) + 8, lambda i: F.coalesce(F.get("__c", i * 2 + 1), F.lit(0)) + 8
+    packed = F.transform(pairs, lambda i: low(i).bitwiseOR(F.shiftleft(high(i), 4)))
+    staged = staged.withColumn("packed", F.when(F.size("__c") > 0, packed).otherwise(F.array().cast("array<int>")))
+    unpacked = F.flatten(F.transform("packed", lambda x: F.array(x.bitwiseAND(F.lit(15)) - 8, F.shiftright(x, 4) - 8)))
+    error = F.array_max(F.zip_with(vector, F.slice(unpacked, F.lit(1), F.size(vector)), lambda x, c: F.abs(x.cast("double") - c * F.col("scale"))))
+    return staged.withColumn("max_error", error).drop("__c")

@@ -61,12 +61,28 @@ HOURLY_COUNTS = "select date_trunc('hour', ts) as hour, event_type, count(*) as
 
 
 def type_runs(spark, d):
-    """Longest run of one event type per user."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
+    """Longest run of one event type per user, and the number of runs.
+
+    Runs are found inside (user, day), a small group even for a user with a third of all events; only the first and
+    last run of a day can go on over its edges, so two rows a day meet in a user's window.
+    """
+    rows = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", F.to_date("ts").alias("day"))
+    w = Window.partitionBy("user_id", "day").orderBy("ts", "event_id")
     fresh = F.coalesce((F.lag("event_type").over(w) != F.col("event_type")).cast("int"), F.lit(1))
-    runs = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).groupBy("user_id", "run", "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return runs.groupBy("user_id").agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("n_runs"))
+    runs = rows.withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(w)).groupBy("user_id", "day", "run", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    edge = lambda pick: pick(F.struct("event_type", "n"), "run")
+    days = runs.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("r"), edge(F.min_by).alias("first"), edge(F.max_by).alias("last"))
+    inner = runs.join(days.select(F.col("user_id").alias("u"), F.col("day").alias("d"), "r"), F.col("user_id").eqNullSafe(F.col("u")) & F.col("day").eqNullSafe(F.col("d")))
+    inner = inner.where("run > 1 and run < r").groupBy("user_id").agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("n_runs"))
+    # A day of one run gives one edge; the last run of a longer day never joins its first.
+    edges = days.select("user_id", "day", F.explode(F.when(F.col("r") == 1, F.array(F.struct(F.lit(0).alias("k"), F.col("first").alias("e")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("k"), F.col("first").alias("e")), F.struct(F.lit(1).alias("k"), F.col("last").alias("e"))))).alias("x"))
+    flat = edges.select("user_id", "day", "x.k", F.col("x.e.event_type").alias("event_type"), F.col("x.e.n").alias("n"))
+    over_days = Window.partitionBy("user_id").orderBy("day", "k")
+    breaks = F.coalesce(((F.lag("event_type").over(over_days) != F.col("event_type")) | (F.col("k") == 1)).cast("int"), F.lit(1))
+    merged = flat.withColumn("fresh", breaks).withColumn("run", F.sum("fresh").over(over_days)).groupBy("user_id", "run").agg(F.sum("n").alias("n"))
+    outer = merged.groupBy("user_id").agg(F.max("n").alias("longest"), F.count(F.lit(1)).alias("n_runs"))
+    return outer.unionByName(inner).groupBy("user_id").agg(F.max("longest").alias("longest"), F.sum("n_runs").alias("n_runs"))
 
 
 TYPE_RUNS = """
