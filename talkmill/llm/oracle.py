@@ -73,4 +73,63 @@ a as (select * from c union all select * from t union all select * from l), f as
 select tbl, first_key, ident as copy_key from f where ident <> first_key
 """
 
-SQL = {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND}
+# Problem 4: the letters whose compatibility form differs in these tables are the full-width ones, the quarter and the trade mark.
+WIDE = "".join(chr(c) for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
+PLAIN = "".join(chr(ord(c) - 0xFEE0) for c in WIDE)
+HIDDEN = r"['`´‘’‚‛ʹʻʼʽˈˊˋ′‵\x{FF07}\x{AD}\x{600}-\x{605}\x{61C}\x{6DD}\x{70F}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFF9}-\x{FFFB}]"
+
+
+def word_list(text: str) -> str:
+    clean = f"regexp_replace({text}, '{HIDDEN.replace(chr(39), chr(39) * 2)}', '', 'g')"
+    return f"regexp_extract_all(lower(translate(replace(replace({clean}, '¼', '1⁄4'), '™', 'TM'), '{WIDE}', '{PLAIN}')), '[\\p{{L}}\\p{{N}}]+')"
+
+
+EIGHT = "unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')))"
+P4_FOUND = f"""
+with i as (select item_id, unnest([known, "unknown"]) as t from elaboration_frozen where item_id is not null), iw as (select item_id, {word_list("t")} as w from i where t is not null),
+ig as (select distinct item_id, {EIGHT} as g from iw where len(w) >= 8),
+r as (select 'documents' as tbl, doc_id::varchar as rec_id, text as t from documents where doc_id is not null and text is not null
+  union all select 'example_conversations', id, unnest(list_transform(messages, lambda m: m.content)) from example_conversations where id is not null and messages is not null),
+rw as (select tbl, rec_id, {word_list("t")} as w from r where t is not null), rg as (select tbl, rec_id, {EIGHT} as g from rw where len(w) >= 8)
+select distinct tbl, rec_id, item_id from rg join ig using (g)
+"""
+
+_HEAD = P1_FOUND[: P1_FOUND.rindex("select conv_id, reason")]
+P1_TALKS = _HEAD.replace("select conv_id, turn, msg_id, sent_at, ingested_at,", "select conv_id, turn, msg_id, sent_at, ingested_at, content,").rstrip() + f""",
+good as (select conv_id from v where reason is null),
+a1 as (select conv_id, case when turn is not null then turn - min(turn) over (partition by conv_id) else row_number() over (partition by conv_id order by sent_at nulls first, msg_id) - 1 end as pos, role, content from o),
+tl as (select id, k, pos, max(label) over (partition by id, k) as role, trim(regexp_replace(line, '{LABEL}', ''), ' ') as part from (select n.*, l.line from n join l using (id, pos)) where k > 0),
+a2 as (select id as conv_id, k - 1 as pos, role, trim(string_agg(part, ' ' order by pos), ' ') as content from tl group by id, k, role)
+select conv_id, pos::bigint as pos, role, content from a1 where conv_id in (select conv_id from good) union all select conv_id, pos::bigint, role, content from a2 where conv_id in (select conv_id from good)
+"""
+
+P1_SESSIONS = f"""
+with m as (select msg_id, conv_id, user_id, turn, sent_at, ingested_at, {role("role")} as role, coalesce(regexp_matches(content, '{VIS}'), false) as visible from message_rows),
+d as (select * from m where conv_id is not null qualify row_number() over (partition by conv_id, turn, case when turn is null then sent_at end, case when turn is null and sent_at is null then msg_id end order by ingested_at desc nulls last, msg_id desc) = 1),
+x as (select * from d union all select * from m where conv_id is null),
+g as (select floor(epoch_us(sent_at) / 1e6 - lag(epoch_us(sent_at)) over (partition by conv_id order by sent_at) / 1e6) as gap, (epoch_us(sent_at) - lag(epoch_us(sent_at)) over (partition by conv_id order by sent_at)) // 1000000 as s from x where conv_id is not null and sent_at is not null),
+h as (select s, count(*) as n from g where s is not null group by s), c as (select s, sum(n) over (order by s) as upto, sum(n) over () as total from h), lim as (select min(s) as limit_s from c where upto >= ceil(total * 0.999)),
+u as (select *, coalesce((epoch_us(sent_at) - lag(epoch_us(sent_at)) over w > (select limit_s from lim) * 1000000)::int, 0) as fresh from x where user_id is not null and sent_at is not null window w as (partition by user_id order by sent_at, msg_id)),
+z as (select *, sum(fresh) over (partition by user_id order by sent_at, msg_id) as session_no, case when visible then role end as said from u)
+select user_id, session_no::bigint as session_no, min(sent_at) as first_at, max(sent_at) as last_at, count(*) as n_messages,
+  coalesce(bool_or(said = 'user'), false) and coalesce(bool_or(said = 'assistant'), false) and coalesce(arg_max(said, {{'a': sent_at, 'b': msg_id}}) filter (said is not null) = 'assistant', false) as reciprocal from z group by user_id, session_no
+"""
+
+_P3 = P3_FOUND[: P3_FOUND.rindex("select 'latent_specs'")].rstrip()
+P3_OVERLAPS = _P3 + f""",
+sp as (select distinct id, case when lower(regexp_replace(split, '[^\\p{{L}}]', '', 'g')) in ({names(VALIDATION)}) then 'validation' else 'test' end as split, source from latent_specs where lower(regexp_replace(split, '[^\\p{{L}}]', '', 'g')) in ({names(EVALUATION)})),
+r1 as (select 'latent_specs' as tbl, e.id as eval_id, case when e.id = left_key then right_key else left_key end as train_id from p join e on e.id in (left_key, right_key)),
+r2 as (select distinct 'latent_specs' as tbl, eval_id, train_id, split, source from r1 join sp on sp.id = eval_id where train_id in (select id from t)),
+r3 as (select 'intents' as tbl, case when contains(left_key, '#held_out#') then left_key else right_key end as eval_id, case when contains(left_key, '#held_out#') then right_key else left_key end as train_id, 'held_out' as split from q),
+r4 as (select * from r2 union all select tbl, eval_id, train_id, split, split_part(eval_id, '#', 1) from r3)
+select tbl, split, source, count(distinct (eval_id, train_id)) as n_pairs, count(distinct eval_id) as n_records from r4 group by tbl, split, source
+"""
+
+_P5 = P5_FOUND[: P5_FOUND.rindex(", f as (select tbl, ident, min(ident)")]
+P5_COLLAPSED = _P5 + """
+select tbl, min(ident) as rec_key, count(*) as n_copies from a group by tbl, key
+"""
+
+SQL = {
+    "p1_found": P1_FOUND, "p1_talks": P1_TALKS, "p1_sessions": P1_SESSIONS, "p3_found": P3_FOUND, "p3_overlaps": P3_OVERLAPS, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_collapsed": P5_COLLAPSED,
+}
