@@ -67,7 +67,7 @@ def side_of(split: Column) -> Column:
 def spec_rows(specs: DataFrame) -> DataFrame:
     """(side, id, split, source, words, skey) of the specs with a split and a word."""
     text = F.lower(F.concat_ws(" ", *LISTS))
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))))
+    words = F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))))
     part = split_of(F.col("split"))
     rows = specs.where("id is not null").select(side_of(part).alias("side"), "id", part.alias("split"), "source", words.alias("words"))
     return rows.where("side is not null and size(words) > 0").withColumn("skey", F.unhex(F.md5(F.array_join("words", " "))))
@@ -278,19 +278,21 @@ def banded(a: list[np.ndarray], b: list[np.ndarray], k: np.ndarray, change: int)
 
 
 def near(batches: Iterator[pa.RecordBatch], change: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (eval_cid, train_cid, k, e_seq, t_seq) within distance k."""
+    """The pairs (eval_cid, train_cid, k, e_seq, t_seq, e_words, t_words) within distance k, without k and the sequences."""
     for batch in batches:
         for first in range(0, batch.num_rows, 500):
             part = batch.slice(first, 500)
             k = part.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             a, b = ([np.asarray(v.values) for v in part.column(c)] for c in (3, 4))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(banded(a, b, k, change) <= k)) for c in part.columns[:2]], names=["eval_cid", "train_cid"])
+            fits = pa.array(banded(a, b, k, change) <= k)
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(fits) for c in (0, 1, 5, 6)], names=["eval_cid", "train_cid", "e_words", "t_words"])
 
 
-def classes_of(rows: DataFrame) -> DataFrame:
-    """(cid, side, skey, words, seq) of the distinct word sets or sequences of each side, written, so that ids hold."""
+def classes_of(rows: DataFrame, ordered: bool) -> DataFrame:
+    """(cid, side, skey, words, seq) of the distinct word sets (``ordered``: in one fixed order) or sequences of each side, written, so that ids hold."""
     one = rows.select("side", "skey", "words").dropDuplicates(["side", "skey"])
-    return cut(one.withColumn("cid", F.monotonically_increasing_id()))
+    seq = F.sort_array(hashes("words")) if ordered else hashes("words")
+    return cut(one.withColumn("cid", F.monotonically_increasing_id()).withColumn("seq", seq))
 
 
 def joined(sets: DataFrame, cutter, fits: Column) -> DataFrame:
@@ -312,19 +314,19 @@ def shift() -> Column:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, k: Column, change: int) -> DataFrame:
-    """Pairs within distance k by banded dynamic programming."""
-    e = sets.where("side = 'eval'").select(F.col("cid").alias("eval_cid"), F.col("seq").alias("e_seq"))
-    t = sets.where("side = 'train'").select(F.col("cid").alias("train_cid"), F.col("seq").alias("t_seq"))
+    """Pairs within distance k by banded dynamic programming, with the words of both (eval_cid, train_cid, e_words, t_words)."""
+    e = sets.where("side = 'eval'").select(F.col("cid").alias("eval_cid"), F.col("seq").alias("e_seq"), F.col("words").alias("e_words"))
+    t = sets.where("side = 'train'").select(F.col("cid").alias("train_cid"), F.col("seq").alias("t_seq"), F.col("words").alias("t_words"))
     both = pairs.join(e.hint("merge"), "eval_cid").join(t.hint("merge"), "train_cid")
-    return both.select("eval_cid", "train_cid", k.alias("k"), "e_seq", "t_seq").mapInArrow(lambda b: near(b, change), "eval_cid bigint, train_cid bigint")
+    both = both.select("eval_cid", "train_cid", k.alias("k"), "e_seq", "t_seq", "e_words", "t_words")
+    return both.mapInArrow(lambda b: near(b, change), "eval_cid bigint, train_cid bigint, e_words array<string>, t_words array<string>")
 
 
 def spec_pairs(classes: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
     """(eval_cid, train_cid) of word sets with at least 3/4 of their union in common."""
-    sets = classes.select("side", "cid", F.array_sort(hashes("words")).alias("seq"))
     bucket = F.col("h").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counts, total = np.zeros(BUCKETS, np.int64), max(1, classes.count())
-    for row in sets.select(F.explode("seq").alias("h")).groupBy(bucket.alias("b")).count().toLocalIterator():  # at most BUCKETS rows
+    for row in classes.select(F.explode("seq").alias("h")).groupBy(bucket.alias("b")).count().toLocalIterator():  # at most BUCKETS rows
         counts[row["b"]] = row["count"]
     share = np.clip(counts / total, 1.0 / total, 1.0)
     limit = F.floor((F.col("e.size") + F.col("t.size")) / F.lit(7))
@@ -341,19 +343,17 @@ def spec_pairs(classes: DataFrame, salt_rows: int = SALT_ROWS) -> DataFrame:
         )
     )
     k = F.floor((F.size("e_seq") + F.size("t_seq")) / F.lit(7)).cast("int")
-    close = verified(joined(sets, lambda batches, train: set_keys(batches, train, share, counts, salt_rows), fits), sets, k, change=2)
-    e = classes.where("side = 'eval'").select(F.col("cid").alias("eval_cid"), F.col("words").alias("e_words"))
-    t = classes.where("side = 'train'").select(F.col("cid").alias("train_cid"), F.col("words").alias("t_words"))
+    close = verified(joined(classes, lambda batches, train: set_keys(batches, train, share, counts, salt_rows), fits), classes, k, change=2)
     common = F.size(F.array_intersect("e_words", "t_words"))  # exact, on the words themselves
     union = F.size("e_words") + F.size("t_words") - common
-    return close.join(e.hint("merge"), "eval_cid").join(t.hint("merge"), "train_cid").where(common * den >= union * num).select("eval_cid", "train_cid")
+    return close.where(common * den >= union * num).select("eval_cid", "train_cid")
 
 
 def intent_pairs(classes: DataFrame, k: int = 1) -> DataFrame:
     """(eval_cid, train_cid) of word sequences at most ``k`` words apart."""
-    sets = classes.select("side", "cid", hashes("words").alias("seq"))
     fits = (F.abs(F.col("e.size") - F.col("t.size")) <= k) & (shift() <= k)
-    return verified(joined(sets, lambda batches, train: sequence_keys(batches, train, k), fits), sets, F.lit(k), change=1)
+    pairs = joined(classes, lambda batches, train: sequence_keys(batches, train, k), fits)
+    return verified(pairs, classes, F.lit(k), change=1).select("eval_cid", "train_cid")
 
 
 def spread(pairs: DataFrame, classes: DataFrame, rows: DataFrame, tbl: str) -> DataFrame:
@@ -370,7 +370,7 @@ def overlaps(spark: SparkSession, folder: str) -> DataFrame:
     """(tbl, eval_id, train_id, split, source) of all cross-split overlaps."""
     specs = cut(spec_rows(table(spark, folder, "latent_specs")))
     intents = intent_rows(table(spark, folder, "intents"))
-    sets, sequences = classes_of(specs), classes_of(intents)
+    sets, sequences = classes_of(specs, ordered=True), classes_of(intents, ordered=False)
     return spread(spec_pairs(sets), sets, specs, "latent_specs").unionByName(spread(intent_pairs(sequences), sequences, intents, "intents"))
 
 

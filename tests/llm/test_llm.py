@@ -226,7 +226,7 @@ def test_p3_hot_group_is_salted_without_loss(spark, folder):
     bags = {s[0]: (s[1], set(s[3][0].split())) for s in specs}
     want = {(min(a, b), max(a, b)) for a, (s, x) in bags.items() for b, (t, y) in bags.items() if s == "train" and t != "train" and 4 * len(x & y) >= 3 * len(x | y)}
     rows = p3_splits.spec_rows(spark.read.parquet(f"{d}/latent_specs.parquet"))
-    sets = p3_splits.classes_of(rows)
+    sets = p3_splits.classes_of(rows, ordered=True)
     for salt_rows in (5, 10**6):
         pairs = p3_splits.spread(p3_splits.spec_pairs(sets, salt_rows), sets, rows, "latent_specs").collect()
         assert {(min(r.eval_id, r.train_id), max(r.eval_id, r.train_id)) for r in pairs} == want and len(want) > 500
