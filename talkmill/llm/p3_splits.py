@@ -65,12 +65,13 @@ def side_of(split: Column) -> Column:
 
 
 def spec_rows(specs: DataFrame) -> DataFrame:
-    """(side, id, split, source, words, skey) of the specs with a split and a word."""
+    """(side, id, split, source, words, skey) of the specs with a split. No filter on the words here: it would compute them twice."""
     text = F.lower(F.concat_ws(" ", *LISTS))
     words = F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z0-9]+"), F.lit(0))))
     part = split_of(F.col("split"))
-    rows = specs.where("id is not null").select(side_of(part).alias("side"), "id", part.alias("split"), "source", words.alias("words"))
-    return rows.where("side is not null and size(words) > 0").withColumn("skey", F.unhex(F.md5(F.array_join("words", " "))))
+    live = specs.where("id is not null").withColumn("__part", part).where("__part is not null")
+    skey = F.unhex(F.md5(F.array_join(words, " ")))
+    return live.select(side_of(F.col("__part")).alias("side"), "id", F.col("__part").alias("split"), "source", words.alias("words"), skey.alias("skey"))
 
 
 def intent_rows(intents: DataFrame) -> DataFrame:
@@ -290,7 +291,7 @@ def near(batches: Iterator[pa.RecordBatch], change: int) -> Iterator[pa.RecordBa
 
 def classes_of(rows: DataFrame, ordered: bool) -> DataFrame:
     """(cid, side, skey, words, seq) of the distinct word sets (``ordered``: in one fixed order) or sequences of each side, written, so that ids hold."""
-    one = rows.select("side", "skey", "words").dropDuplicates(["side", "skey"])
+    one = rows.where("size(words) > 0").select("side", "skey", "words").dropDuplicates(["side", "skey"])
     seq = F.sort_array(hashes("words")) if ordered else hashes("words")
     return cut(one.withColumn("cid", F.monotonically_increasing_id()).withColumn("seq", seq))
 
