@@ -18,15 +18,15 @@ def context_window(rows: DataFrame, size: Column, max_turns: int, budget: int) -
     return run.where((F.col("back") <= max_turns) & ((F.col("upto") <= budget) | (F.col("back") == 1))).drop("__last")
 
 
-def token_offsets(rows: DataFrame, order: str, size: str, per_range: int = 50_000) -> DataFrame:
+def token_offsets(rows: DataFrame, order: str, size: str, buckets: int = 64, per_range: int = 50_000) -> DataFrame:
     """Adds ``offset``: tokens of all rows before a row in the order of a number column.
 
-    Two passes: running sums inside ranges of the order, plus the sums of the ranges before. There are as many
-    ranges as ``per_range`` rows each need, so a range does not grow with the data; no window runs over all rows,
+    Two passes: running sums inside ranges of the order, plus the sums of the ranges before. There are at least
+    ``buckets`` ranges and as many as ``per_range`` rows each need, so a range does not grow with the data; no window runs over all rows,
     only over one row per range. Rows of equal order should be few.
     """
     ends = rows.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("__n"))
-    ranges = F.greatest(F.lit(64), F.ceil(F.col("__n") / per_range))
+    ranges = F.greatest(F.lit(buckets), F.ceil(F.col("__n") / per_range))
     width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / ranges))
     placed = rows.crossJoin(F.broadcast(ends)).withColumn("__b", F.floor((F.col(order) - F.col("lo")) / width))  # one row
     totals = placed.groupBy("__b").agg(F.sum(size).alias("n"))

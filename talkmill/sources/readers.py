@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from talkmill.operators.conversations import SCHEMA
 
@@ -57,20 +59,44 @@ def transcript(text: Column) -> Column:
     return F.filter(turns, lambda t: t["content"] != "")
 
 
-def read_eou(spark: SparkSession, path: str) -> DataFrame:
-    """One dialogue per line, utterances parted by ``__eou__``; fewer than two utterances are dropped.
+def numbered_lines(spark: SparkSession, path: str | list[str], name: str | None = None) -> DataFrame:
+    """(file, line, value): every line with its number in its file, from 0.
 
-    The line number in a file counts from the lines before it, by a window over each file.
+    Files are read in splits like any text, whatever their size: a line's place in its split plus the lines of the
+    splits before it. Splits are few rows; no file is one string and no window runs over lines. With ``name``, a
+    pattern of file names, folders are searched at all depths.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    stem = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
-    messages = F.col("messages")
-    return (
-        lines.withColumn("utterances", F.split("text", "__eou__"))
-        .withColumn("messages", alternating("utterances"))
-        .where(F.size(messages) >= 2)
-        .select(F.format_string("dd-%s-%06d", stem, "line").alias("id"), F.lit("dailydialog").alias("source"), "messages")
+    reader = spark.read
+    if name:
+        reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    rows = reader.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__m"), "value"
     )
+    splits = rows.groupBy("file", "__start").agg(F.min("__m").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1))
+    bases = splits.select("file", "__start", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__base"))
+    return rows.join(F.broadcast(bases), ["file", "__start"]).select("file", (F.col("__m") + F.col("__base")).alias("line"), "value")
+
+
+def stem(file: str = "file") -> Column:
+    return F.regexp_extract(file, r"([^/]+?)(?:\.[^./]*)?$", 1)
+
+
+def read_eou(spark: SparkSession, path: str, split: str = "train", limit: int | None = None, keep_places: bool = True) -> DataFrame:
+    """One dialogue per line, utterances parted by ``__eou__``; fewer than two utterances are dropped.
+
+    ``path`` is a file, or a folder whose ``dialogues_*.txt`` are read at any depth. ``limit`` keeps the first talks
+    in the order of files and lines. Blank utterances are dropped; with ``keep_places`` they still count when roles
+    alternate, without it (as the registry reads, and the reference does) roles alternate over what is left.
+    """
+    folder = not path.rstrip("/").rsplit("/", 1)[-1].count(".")
+    lines = numbered_lines(spark, path, "dialogues_*.txt" if folder else None)
+    said = F.transform(F.split("value", "__eou__"), lambda u: F.trim(u))
+    rows = lines.withColumn("utterances", said if keep_places else F.filter(said, lambda u: u != "")).withColumn("messages", alternating("utterances")).where(F.size("messages") >= 2)
+    if limit is not None:
+        rows = rows.orderBy("file", "line").limit(limit)
+    meta = F.create_map(F.lit("split"), F.lit(split))
+    return rows.select(F.format_string("dd-%s-%06d", stem(), "line").alias("id"), F.lit("dailydialog").alias("source"), "messages", meta.alias("meta"))
 
 
 def read_utterances(spark: SparkSession, path: str) -> DataFrame:
@@ -128,25 +154,58 @@ def normalize_records(lines: DataFrame, source: str) -> DataFrame:
     ).where(F.size("messages") >= 2)
 
 
-def read_tolerant_jsonl(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """Third-party JSONL; line numbers per file."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\R")).alias("line", "value"))
-    return normalize_records(lines, source)
+def read_tolerant_jsonl(spark: SparkSession, path: str, source: str, limit: int | None = None) -> DataFrame:
+    """Third-party JSONL; line numbers per file. ``limit`` counts lines, not records."""
+    lines = numbered_lines(spark, path)
+    return normalize_records(lines if limit is None else lines.where(F.col("line") < limit), source)
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """(id, scores): numeric scores only; a later line of an id wins."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\R")).alias("line", "value")).where(F.trim("value") != "")
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     v = lines.withColumn("v", F.parse_json("value"))
     raw = F.expr("try_variant_get(v, '$.scores', 'map<string,string>')")
     numeric = F.map_filter(F.transform_values(raw, lambda k, x: x.try_cast("double")), lambda k, x: x.isNotNull())
-    return v.select(F.expr("try_variant_get(v, '$.id', 'string')").alias("id"), "line", numeric.alias("scores")).groupBy("id").agg(F.max_by("scores", "line").alias("scores"))
+    rows = v.select(F.expr("try_variant_get(v, '$.id', 'string')").alias("id"), F.struct("file", "line").alias("at"), numeric.alias("scores"))
+    return rows.groupBy("id").agg(F.max_by("scores", "at").alias("scores"))
 
 
 def read_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """Summaries of runs: ``*/summary.json`` below a folder."""
-    return spark.read.option("multiLine", True).json(f"{folder}/*/summary.json").withColumn("file", F.input_file_name())
+    """Summaries of runs: the list in ``all_models.json`` if it is there, else ``*/summary.json`` below a folder."""
+    from pyspark.errors import AnalysisException
+
+    reader = spark.read.option("multiLine", True)
+    try:
+        found = reader.json(f"{folder}/all_models.json")
+    except AnalysisException:
+        found = reader.json(f"{folder}/*/summary.json")
+    return found.withColumn("file", F.col("_metadata.file_path"))
+
+
+SCENARIO = "id string, category string, user_turns array<string>, probes array<struct<turn:int,type:string,expect_any:array<string>,forbid_any:array<string>,forbid_confident:boolean,note:string>>"
+
+
+def read_scenarios(spark: SparkSession, path: str, default: list[tuple] = ()) -> DataFrame:
+    """Scenario lines; the given default rows where the file is missing."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(SCENARIO).option("mode", "FAILFAST").json(path)
+    except AnalysisException:
+        return spark.createDataFrame(list(default), SCENARIO)
+
+
+def read_prefix_map(spark: SparkSession, path: str) -> DataFrame:
+    """(policy, token, lift) of a mined map {policy: [{token, lift}]}; no rows where the file is missing."""
+    from pyspark.errors import AnalysisException
+
+    kind = "map<string,array<struct<token:string,lift:double>>>"
+    try:
+        text = spark.read.text(path, wholetext=True)  # a short report file
+    except AnalysisException:
+        return spark.createDataFrame([], "policy string, token string, lift double")
+    return text.select(F.explode(F.from_json("value", kind)).alias("policy", "items")).select("policy", F.inline("items"))
 
 
 #: Readers by the name of a layout.
-ADAPTERS = {"dailydialog": read_eou, "empathetic_dialogues": read_utterances, "jsonl": read_tolerant_jsonl, "synthetic": read_tolerant_jsonl}
+ADAPTERS = {"dailydialog": functools.partial(read_eou, keep_places=False), "empathetic_dialogues": read_utterances, "jsonl": read_tolerant_jsonl, "synthetic": read_tolerant_jsonl}
