@@ -11,7 +11,7 @@ def _all():
     import importlib
 
     found = {}
-    for name in ("corpus", "dialogue", "relational", "benches", "harness", "training"):
+    for name in ("corpus", "dialogue", "relational", "benches", "harness", "training", "generators"):
         found |= importlib.import_module(f"talkmill.queries.{name}").QUERIES
     return found
 

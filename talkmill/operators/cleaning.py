@@ -104,6 +104,14 @@ def weight(cfg: FilterConfig = FilterConfig()) -> Column:
     return F.round(F.when(all_ > 0, 0.35 + 0.65 * ratio(band, all_)).otherwise(F.lit(1.0)) * F.when(F.col("reason").isNotNull(), 0.1).otherwise(1.0), 4)
 
 
+def flagged(rows: DataFrame) -> DataFrame:
+    """Adds the reject reason to ``meta`` as filter_flag, for rejected talks that stay with a lower weight."""
+    flag = F.create_map(F.lit("filter_flag"), F.col("reason"))
+    none = F.create_map().cast("map<string,string>")
+    kept = F.map_filter(F.coalesce("meta", none), lambda k, v: k != "filter_flag")
+    return rows.withColumn("meta", F.when(F.col("reason").isNotNull(), F.map_concat(kept, flag)).otherwise(kept))
+
+
 def exact_key(text: Column, marks: str = r"\p{M}") -> Column:
     """Lower case, runs of other than word characters as one space, as SHA-256; without ``marks`` as Python's ``re`` has it."""
     return F.sha2(F.trim(F.regexp_replace(F.lower(text), rf"[^\p{{L}}{marks}\p{{N}}_]+", " ")), 256)
