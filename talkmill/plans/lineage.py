@@ -1,8 +1,9 @@
-"""Cutting lineage with reliable checkpoints in the folder all executors share."""
+"""Cutting lineage with tables written to the folder all executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,17 +19,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not (sc.master == "local" or sc.master.startswith("local[")):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="talkmill-checkpoint-")
     sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and return a plan that reads it back.
+    """Write ``df`` as a table to the checkpoint folder and return a scan of it.
 
-    Survives the loss of executors, unlike a local checkpoint, and is computed
-    exactly once however many branches read the result.
+    Survives the loss of executors, unlike a local checkpoint, and is computed exactly once however many branches
+    read the result; ``checkpoint()`` computes a frame twice, once to materialize and once to write it. Branches read
+    only the columns they need, and joins know the table's size.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
