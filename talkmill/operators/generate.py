@@ -82,7 +82,8 @@ def core_examples(spark: SparkSession, intents: DataFrame, held: DataFrame, n: i
     from talkmill.functions.normalize import surface
 
     u = lambda name: uniform(F.col("k"), name, seed)
-    weighted = intents.where("size(train) > 0").select("name", "length", "targets", "train", (5 - F.col("tier")).cast("double").alias("w"))
+    known = intents.withColumn("train", F.filter("train", lambda x: x.isNotNull()))
+    weighted = known.where("size(train) > 0").select("name", "length", "targets", "train", (5 - F.col("tier")).cast("double").alias("w"))
     upto = F.sum("w").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, 0))
     whole = F.sum("w").over(Window.partitionBy(F.lit(1)))
     bounds = weighted.withColumn("hi", upto / whole).withColumn("lo", (upto - F.col("w")) / whole)

@@ -164,7 +164,7 @@ def next_boosts(spark, d):
 NEXT_BOOSTS = f"""
 with {CORE_RESULTS}, r as (select intent, tier, count(*) filter (correct)::double / count(*) as pass_rate from cr group by all),
 m as (select intent, true as worst from r where pass_rate < case tier when 1 then 0.99::double when 2 then 0.95::double when 3 then 0.9::double else 1 end order by pass_rate, intent limit 5),
-b as (select name as intent, 2.0::double as boost from intents where tier > 1), j as (select r.intent, coalesce(boost, 1.0::double) as now, worst from r left join b using (intent) left join m using (intent)),
+b as (select name as intent, 2.0::double as boost from intents where tier > 1), j as (select intent, coalesce(boost, 1.0::double) as now, worst from r full join b using (intent) left join m using (intent)),
 x as (select intent, case when worst then case when now < 4 then round(least(4.0, now * 1.5), 3) else now end else round(greatest(1.0, now * 0.85), 3) end as boost from j) select intent, boost::double as boost from x where boost > 1
 """
 
@@ -223,7 +223,7 @@ select count(*) as comparisons, count(*) filter (choice = 'TIE') as ties, count(
 
 def prefix_contexts(spark, d):
     rows = benches.context_prefixes(table(spark, d, "example_conversations").where("id is not null and messages is not null").select("id", "messages"))
-    text = F.array_join(F.transform("context", lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
+    text = F.array_join(F.transform("context", lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")
     return longs(rows.select("id", "k", F.size("context").alias("n_context"), F.sha2(text, 256).alias("context")))
 
 
@@ -231,7 +231,7 @@ PREFIX_CONTEXTS = """
 with s as (select id, list_filter(messages, lambda m: coalesce(m.role, '') <> 'system') as m from example_conversations where id is not null and messages is not null),
 p as (select id, m, list_filter(range(0, len(m)), lambda i: m[i + 1].role = 'assistant') as places from s),
 e as (select id, m, unnest(places) as place, unnest(range(0, len(places))) as k from p)
-select id, k, place as n_context, sha256(array_to_string(list_transform(m[1:place], lambda x: x.role || ': ' || coalesce(x.content, '')), chr(10))) as context from e
+select id, k, place as n_context, sha256(array_to_string(list_transform(m[1:place], lambda x: coalesce(x.role, '') || ': ' || coalesce(x.content, '')), chr(10))) as context from e
 """
 
 

@@ -91,7 +91,7 @@ def policy_confidence(spark, d):
 POLICY_CONFIDENCE = """
 with c as (select id, list_transform(candidates, lambda x: len(regexp_extract_all(lower(coalesce(x.content, '')), '[a-z'']+'))::double / 4) as l from example_teacher_candidates where len(candidates) > 0),
 e as (select id, list_transform(l, lambda x: exp(x - list_max(l))) as e from c), p as (select id, list_transform(e, lambda x: x / list_sum(e)) as p from e),
-s as (select id, p, list_reverse_sort(p) as o from p), m as (select id, o[1] as top1, o[1] - coalesce(o[2], 0) as margin, -list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: x * ln(x))) / case when len(p) > 1 then ln(len(p)) else 1 end as entropy from s)
+s as (select id, p, list_reverse_sort(p) as o from p), m as (select id, o[1] as top1, o[1] - coalesce(o[2], 0) as margin, (0.0::double - list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: x * ln(x)))) / case when len(p) > 1 then ln(len(p)) else 1 end as entropy from s)
 select id, round(top1, 6) as top1, round(margin, 6) as margin, round(entropy, 6) as entropy, case when top1 >= 0.6 and margin >= 0.2 then 'HIGH' when top1 >= 0.6 * 0.75 and margin >= 0.2 * 0.5 then 'MEDIUM' else 'LOW' end as status from m
 """
 

@@ -285,7 +285,7 @@ def core_examples(spark, d, n: int = 2_000):
 def core_examples_sql() -> str:
     u = lambda name: f"(('0x' || sha256('1337:{name}:' || k)[1:8])::bigint / 4294967296.0::double)"
     return f"""
-with {CORE}, h as (select distinct {SURFACE.format("prompt")} as s from sc), w as (select name, length, targets, train, (5 - tier)::double as w from intents where len(train) > 0),
+with {CORE}, h as (select distinct {SURFACE.format("prompt")} as s from sc), w as (select name, length, targets, train, (5 - tier)::double as w from (select * replace (list_filter(train, lambda x: x is not null) as train) from intents) where len(train) > 0),
 b as (select *, sum(w) over (order by name) / sum(w) over () as hi, (sum(w) over (order by name) - w) / sum(w) over () as lo from w), ks as (select unnest(range(0, 2000)) as k),
 p as (select k, name, length, targets[1] as target, train[floor({u("paraphrase")} * len(train))::int + 1] as base from ks join b on {u("intent")} >= lo and {u("intent")} < hi),
 a as (select *, case when {u("filler")} < 0.3 then (['so ', 'ok so ', 'hey ', 'right '])[floor({u("which filler")} * 4)::int + 1] || base else base end as t from p),
