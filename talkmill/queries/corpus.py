@@ -182,13 +182,60 @@ select id, arg_max(place, (score, -place))::bigint as place, max(score) as score
 """
 
 
+def candidate_scores(spark, d):
+    """The eight heuristic dimensions of every candidate and their weighted mean."""
+    scored = selection.heuristic_scores(selection.candidates(table(spark, d, "example_teacher_candidates")))
+    return longs(scored.withColumn("score", selection.weighted(F.col)).select("id", "place", *[F.round(k, 3).alias(k) for k in lex.DIMENSION_WEIGHTS], "score"))
+
+
 def rejection_outcomes(spark, d):
-    """No SQL: about a hundred lines of scoring; tested against a loop on a fixture."""
+    """Heuristic scores of all candidates, the best of each talk, and what becomes of it."""
     scored = selection.heuristic_scores(selection.candidates(table(spark, d, "example_teacher_candidates")))
     scored = scored.withColumn("score", selection.weighted(F.col)).drop("given", "earlier")
     return selection.outcome(selection.best_of(scored)).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 4).alias("mean_score"))
 
 
+def _hits(column: str, phrases) -> str:
+    return "(" + " + ".join(f"contains({column}, {q(p)})::int" for p in phrases) + ")"
+
+
+_clip = lambda x: f"round(greatest(1.0::double, least(5.0::double, {x})), 3)"
+_near = lambda a, b: f"case when len({a}) = 0 or len({b}) = 0 then 0.0::double else len(list_intersect(list_distinct({a}), list_distinct({b})))::double / len(list_distinct(list_concat({a}, {b}))) end"
+LOW = "low"
+_DIMENSIONS = {
+    "naturalness": _clip("4.0::double - case when bad then 2.5 else 0 end + case when regexp_matches(low, '\\b(?:i''?m|it''?s|that''?s|don''?t|yeah|nah|lol|haha|kinda)\\b') then 0.75 else 0 end - case when regexp_matches(text, '^\\p{Lu}') and regexp_matches(text, '[.!?]$') and n > 20 then 0.25 else 0 end"),
+    "brevity": "case when n < 3 then 2.5 + n * 0.5 when n <= 25 then 5.0 else greatest(1.0::double, 5.0 - (n - 25) * 0.15::double) end",
+    "relevance": f"case when back then {_clip('rel + 0.5')} else rel end",
+    "emotional_appropriateness": f"case mood when 'negative' then case when {any_of('low', lex.CELEBRATION)} then 1.5 when {any_of('low', lex.EMPATHY)} then 4.75 else 2.5 end when 'positive' then case when {any_of('low', lex.EMPATHY)} then 1.5 when {any_of('low', lex.CELEBRATION)} then 4.75 else 3.0 end else 3.0 end",
+    "continuation": "case when regexp_replace(low, '[.!]+$', '') in ('ok', 'yes', 'no', 'sure') then 1.5 when asks = 1 then 4.75 when asks > 2 then 2.0 when asks = 0 and back then 3.75 else 3.0 end",
+    "non_repetition": f"case when echoed then least({_clip('5.0 - 12.0 * rep')}, 1.5) else {_clip('5.0 - 12.0 * rep')} end",
+    "no_unnecessary_facts": f"case when {any_of('low', lex.GRACEFUL_IGNORANCE)} and contains(asked, '?') then 5.0 else {_clip(f'5.0 - 2.0 * {_hits(LOW, lex.CONFIDENT_FACTS)} - 0.15::double * digits')} end",
+    "non_assistant_style": f"case when regexp_matches(text, '(?m)^\\s*(?:1\\.|-|\\*)\\s') then least({_clip(f'5.0 - 2.5 * {_hits(LOW, lex.AI_STYLE_MARKERS)} - case when n > 45 then 1.0 else 0.0 end')}, 1.5) else {_clip(f'5.0 - 2.5 * {_hits(LOW, lex.AI_STYLE_MARKERS)} - case when n > 45 then 1.0 else 0.0 end')} end",
+}
+SCORED = f"""
+m as (select id, if(messages[len(messages)].role = 'assistant', messages[1:len(messages) - 1], messages) as c, candidates from example_teacher_candidates),
+k as (select id, coalesce(list_filter(c, lambda x: x.role = 'user')[-1].content, '') as asked, list_transform(list_filter(c, lambda x: x.role = 'assistant'), lambda x: coalesce(x.content, ''))[-4:] as earlier, unnest(candidates) as cand, unnest(range(0, len(candidates))) as place from m),
+t as (select id, place, asked, earlier, trim(coalesce(cand.content, ''), ' ') as text from k),
+w as (select *, lower(text) as low, regexp_extract_all(lower(text), '[a-z'']+') as w, regexp_extract_all(lower(asked), '[a-z'']+') as u from t),
+g as (select *, len(w) as n, case when len(w) < 3 then [] else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end as g3 from w),
+f as (select *, case when len(g3) > 0 then (len(g3) - len(list_distinct(g3)))::double / len(g3) else 0.0 end as rep, case when n > 0 then len(list_filter(w, lambda x: list_contains(u, x)))::double / n else 0.0 end as copied, {any_of("low", lex.BACKCHANNEL)} as back,
+  length(text) - length(replace(text, '?', '')) as asks, len(regexp_extract_all(text, '\\p{{Nd}}')) as digits, case when {_hits("lower(asked)", lex.NEGATIVE_CUES)} > {_hits("lower(asked)", lex.POSITIVE_CUES)} then 'negative' when {_hits("lower(asked)", lex.POSITIVE_CUES)} > {_hits("lower(asked)", lex.NEGATIVE_CUES)} then 'positive' else 'neutral' end as mood,
+  n = 0 or (n > 2 and len(list_filter(range(1, n), lambda i: w[i] = w[i + 1])) > 0) or len(list_filter(w, lambda x: not regexp_matches(x, '[aeiouy]')))::double / greatest(n, 1) > 0.35 or (n > 4 and len(list_distinct(w))::double / n < 0.45)
+    or coalesce(list_bool_or(list_transform(list_distinct(string_split(text, '')), lambda c: c <> '' and contains(text, repeat(c, 5)))), false) as bad,
+  coalesce(list_bool_or(list_transform(earlier, lambda e: {_near("regexp_extract_all(lower(e), '[a-z'']+')", "w")} > 0.6)), false) as echoed from g),
+r as (select *, case when copied > 0.85 and n >= 4 then 1.0 else {_clip("2.0 + 6.0 * least(" + _near("w", "u") + ", 0.4)")} end as rel from f),
+d as (select id, place, {", ".join(f"case when text = '' then 1.0::double else ({v})::double end as {k}" for k, v in _DIMENSIONS.items())} from r),
+s as (select *, round(({" + ".join(f"{k} * {v}::double" for k, v in lex.DIMENSION_WEIGHTS.items())}) / {TOTAL}::double, 4) as score from d)
+"""
+CANDIDATE_SCORES = f"with {SCORED} select id, place, {', '.join(f'round({k}, 3) as {k}' for k in lex.DIMENSION_WEIGHTS)}, score from s"
+REJECTION_OUTCOMES = f"""
+with {SCORED},
+b as (select *, row_number() over (partition by id order by score desc, place) as rank from s),
+o as (select case when score < 3 then 'rejected_low_score' when {" or ".join(f"{k} < {v}" for k, v in lex.HARD_FLOORS.items())} then 'rejected_floor' else 'kept' end as outcome, score from b where rank = 1)
+select outcome, count(*) as n, round(avg(score), 4) as mean_score from o group by outcome
+"""
+
+
 def token_lift(spark, d):
     """Add-one smoothed lift of a word in a language's documents: support of at least 25, lift of at least 1.5, best eight each."""
     from pyspark.sql import Window
@@ -299,7 +346,7 @@ SAMPLE_EVERY = "with r as (select doc_id, lang, row_number() over (order by doc_
 QUERIES = {
     "corpus_stats": (corpus_stats, CORPUS_STATS), "cleaned_talks": (cleaned_talks, None), "reject_reasons": (reject_reasons, REJECT_REASONS), "duplicates": (duplicates, DUPLICATES),
     "family_parts": (family_parts, FAMILY_PARTS), "stratified_val": (stratified_val, STRATIFIED_VAL), "leakage_flagged": (leakage_flagged, LEAKAGE_FLAGGED),
-    "leakage_rates": (leakage_rates, LEAKAGE_RATES), "best_candidates": (best_candidates, BEST_CANDIDATES), "rejection_outcomes": (rejection_outcomes, None),
+    "leakage_rates": (leakage_rates, LEAKAGE_RATES), "best_candidates": (best_candidates, BEST_CANDIDATES), "candidate_scores": (candidate_scores, CANDIDATE_SCORES), "rejection_outcomes": (rejection_outcomes, REJECTION_OUTCOMES),
     "token_lift": (token_lift, TOKEN_LIFT), "rollups": (rollups, ROLLUPS), "tidy_texts": (tidy_texts, TIDY_TEXTS), "normalized_texts": (normalized_texts, None), "source_sets": (source_sets, SOURCE_SETS),
     "line_fields": (line_fields, LINE_FIELDS), "sample_every": (sample_every, SAMPLE_EVERY),
 }

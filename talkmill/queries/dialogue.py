@@ -296,11 +296,21 @@ select id, max(run)::bigint as longest_run from r group by id
 
 
 def transcript_turns(spark, d):
-    """No SQL: labels and continuation lines of a transcript as one expression; tested against a loop."""
+    """Labels and continuation lines of a transcript as one expression."""
     rows = table(spark, d, "example_transcript_format").where("conversation is not null")
     return longs(rows.select("id", F.posexplode(transcript(F.col("conversation"))).alias("turn", "m")).select("id", "turn", "m.role", "m.content"))
 
 
+_LABEL = r"(?i)^\s*(user|assistant|human|ai|a|b|speaker\s*1|speaker\s*2|me|them|you|bot)\s*[:>-]\s*"
+TRANSCRIPT_TURNS = f"""
+with t as (select id, list_filter(list_transform(regexp_split_to_array(conversation, '\\r\\n|[\\n\\x0B\\x0C\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: trim(x, ' ')), lambda x: x <> '') as lines from example_transcript_format where conversation is not null),
+l as (select id, unnest(lines) as line, unnest(range(0, len(lines))) as pos from t),
+r as (select id, pos, case when regexp_matches(line, '{_LABEL}') then case when regexp_replace(lower(regexp_extract(line, '{_LABEL}', 1)), '\\s+', ' ', 'g') in ('assistant', 'ai', 'bot', 'b', 'speaker 2', 'speaker2', 'them') then 'assistant' else 'user' end end as role, trim(regexp_replace(line, '{_LABEL}', ''), ' ') as text from l),
+n as (select *, sum((role is not null)::int) over (partition by id order by pos) as k from r), g as (select id, k, max(role) as role, trim(string_agg(text, ' ' order by pos), ' ') as content from n where k > 0 group by id, k)
+select id, row_number() over (partition by id order by k) - 1 as turn, role, content from g where content <> ''
+"""
+
+
 def reply_lengths(spark, d):
     """Replies by length band with their share of questions."""
     replies = ev.reply_pairs(conversation_turns(spark, d)).withColumn("n", F.size(tokens(F.coalesce("said", F.lit("")))))
@@ -320,6 +330,6 @@ QUERIES = {
     "reply_facts": (reply_facts, REPLY_FACTS), "broken_counts": (broken_counts, BROKEN_COUNTS), "talk_metrics": (talk_metrics, TALK_METRICS), "talk_averages": (talk_averages, TALK_AVERAGES),
     "clean_prefixes": (clean_prefixes, CLEAN_PREFIXES), "clean_prefixes_long": (clean_prefixes_long, CLEAN_PREFIXES_LONG), "reply_overlap": (reply_overlap, REPLY_OVERLAP), "probe_results": (probe_results, PROBE_RESULTS),
     "blind_pairs": (blind_pairs, BLIND_PAIRS), "turn_features": (turn_features, TURN_FEATURES), "memory_slots": (memory_slots, MEMORY_SLOTS), "memory_slots_all": (memory_slots_all, None),
-    "context_windows": (context_windows, CONTEXT_WINDOWS), "question_runs": (question_runs, QUESTION_RUNS), "transcript_turns": (transcript_turns, None),
+    "context_windows": (context_windows, CONTEXT_WINDOWS), "question_runs": (question_runs, QUESTION_RUNS), "transcript_turns": (transcript_turns, TRANSCRIPT_TURNS),
     "reply_lengths": (reply_lengths, REPLY_LENGTHS),
 }
