@@ -49,3 +49,49 @@ def talk_memory(turns: DataFrame) -> DataFrame:
     return turns.groupBy("id").applyInPandasWithState(
         update, "id string, slot string, value string, confidence double, turn int", "slots array<string>, slot_values array<string>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def reply_state(replies: DataFrame, window: int = 8) -> DataFrame:
+    """What a harness remembers of each talk's replies, kept as state: (id, turn, is_question, consecutive_questions, seen_recently).
+
+    Replies (id, turn, content) come in order; the last ``window`` of them, trimmed and in lower case, tell whether one was
+    said before. Only their hashes are kept, so the state of a talk is bounded.
+    """
+    import hashlib
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        recent, run = state.get if state.exists else ([], 0)
+        recent, out = list(recent), []
+        for turn, text in sorted((t, c or "") for f in frames for t, c in zip(f["turn"], f["content"])):
+            mark = hashlib.sha1(text.strip().lower().encode()).hexdigest()[:12]
+            ask = text.strip().endswith("?")
+            run = run + 1 if ask else 0
+            out.append((key[0], int(turn), ask, run, mark in recent))
+            recent = [*recent, mark][-window:]
+        state.update((recent, run))
+        yield pd.DataFrame(out, columns=["id", "turn", "is_question", "consecutive_questions", "seen_recently"])
+
+    return replies.groupBy("id").applyInPandasWithState(
+        update, "id string, turn int, is_question boolean, consecutive_questions int, seen_recently boolean", "recent array<string>, run int", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def topic_state(turns: DataFrame) -> DataFrame:
+    """(id, turn, topic) on every change of a talk's topic, the last topic kept as state. Turns (id, turn, content) of users."""
+
+    def topic_of(text: str) -> str | None:
+        hits = {k: sum(w in text.lower() for w in words) for k, words in lex.TOPIC_KEYWORDS.items()}
+        best = max(hits, key=hits.get)  # the first one on a tie
+        return best if hits[best] else None
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (last,), out = state.get if state.exists else ("",), []
+        for turn, text in sorted((t, c) for f in frames for t, c in zip(f["turn"], f["content"]) if c):
+            now = topic_of(text)
+            if now and now != last:
+                out.append((key[0], int(turn), now))
+                last = now
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["id", "turn", "topic"])
+
+    return turns.groupBy("id").applyInPandasWithState(update, "id string, turn int, topic string", "last string", "append", GroupStateTimeout.NoTimeout)

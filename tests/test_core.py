@@ -355,3 +355,124 @@ def test_talk_averages(spark, tmp_path):
     spark.createDataFrame(rows, TALK).write.parquet(f"{tmp_path}/example_conversations.parquet")
     got = {r.id: (r.mean_rep_ngram, r.mean_copy_ratio) for r in catalog.queries()["talk_averages"](spark, str(tmp_path)).collect()}
     assert got == {"a": (0.25, 0.333333), "b": (0.0, 0.0)}
+
+
+def test_reply_and_topic_state_match_batch(spark, tmp_path):
+    """The streaming forms, fed in two batches, give what the batch operators give."""
+    from talkmill.operators import harness
+    from talkmill.streaming import pipelines
+
+    said = ["how are you?", "and work?", "hm", "how are you?", "the boss called", "we ate pizza", "pizza again?", "hm", "school starts", None]
+    rows = [(i, t, x) for i in ("a", "b") for t, x in enumerate(said)]
+    (tmp_path / "in").mkdir()
+    schema = "id string, turn int, content string"
+    out = {}
+    for name, make in (("replies", pipelines.reply_state), ("topics", pipelines.topic_state)):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = make(stream).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp_{name}")).start()
+        out[name] = query
+    for part in (lambda t: t < 5, lambda t: t >= 5):
+        spark.createDataFrame([r for r in rows if part(r[1])], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        for query in out.values():
+            query.processAllAvailable()
+    for query in out.values():
+        query.stop()
+    batch = harness.recent_repeats(spark.createDataFrame(rows, "id string, n int, said string")).select("id", "n", "seen_recently").collect()
+    assert {(r.id, r.turn, r.seen_recently) for r in spark.table("replies").collect()} == {tuple(r) for r in batch}
+    runs = {(r.turn, r.consecutive_questions) for r in spark.table("replies").where("id = 'a'").collect()}
+    assert {(0, 1), (1, 2), (2, 0), (3, 1), (6, 1)} <= runs
+    turns = spark.createDataFrame([(i, t, "user", x) for i, t, x in rows], "id string, turn int, role string, content string")
+    want = {r.id: r.topics for r in harness.app_state(turns).collect()}
+    got = {i: [r.topic for r in sorted(spark.table("topics").where(f"id = '{i}'").collect(), key=lambda r: r.turn)] for i in ("a", "b")}
+    assert got == want and want["a"] == ["work", "food", "school"]
+
+
+def test_writers_and_manifests(spark, tmp_path):
+    from talkmill.sources import sinks
+
+    rows = spark.createDataFrame([("a", "x", "hi"), ("b", "x", None), ("c", "y", "yo")], "id string, category string, text string")
+    assert sinks.write_jsonl(rows, str(tmp_path / "rows")) == 3
+    manifest = str(tmp_path / "m" / "frozen.json")
+    info = sinks.freeze(rows, "category", ("id", "text"), manifest)
+    assert info["n"] == 3 and info["categories"] == {"x": 2, "y": 1}
+    sinks.verify_frozen(rows.repartition(3).orderBy(F.desc("id")), manifest)
+    for other in (rows.where("id <> 'c'"), rows.withColumn("text", F.coalesce("text", F.lit(""))), rows.unionByName(rows)):
+        with pytest.raises(RuntimeError):
+            sinks.verify_frozen(other, manifest)
+    with pytest.raises(FileNotFoundError):
+        sinks.verify_frozen(rows, manifest + ".gone")
+    runs = spark.createDataFrame([("m1", 100, 0.25, None), ("m2", 400, 0.5, 1.5)], "model string, params long, clean double, loss double")
+    text = sinks.scaling_report(runs, "params", ("clean", "loss"), str(tmp_path / "report.md"))
+    assert "| m2 | 400 | 0.5000 | 1.5000 |" in text and "#" * 40 + " 0.5000" in text and (tmp_path / "report.md").read_text().startswith("| model")
+    won = spark.createDataFrame([("t", "s", [("user", "q"), ("assistant", "old")], "new")], TALK + ", text string")
+    assert sinks.write_selected(won, str(tmp_path / "won")) == 1
+    assert [m.content for m in spark.read.json(str(tmp_path / "won")).head().messages] == ["q", "new"]
+
+
+def test_readers_of_reports_and_long_files(spark, tmp_path):
+    (tmp_path / "d" / "deep").mkdir(parents=True)
+    (tmp_path / "d" / "dialogues_a.txt").write_text("hi __eou__ yo __eou__\n\n __eou__ a __eou__ b\n")
+    (tmp_path / "d" / "deep" / "dialogues_b.txt").write_text("\n".join(f"q{i} __eou__ r{i}" for i in range(3000)))
+    (tmp_path / "d" / "other.txt").write_text("x __eou__ y\n")
+    read = readers.ADAPTERS["dailydialog"]
+    got = {r.id: [(m.role, m.content) for m in r.messages] for r in read(spark, str(tmp_path / "d")).collect()}
+    assert len(got) == 3002 and got["dd-dialogues_a-000002"] == [("user", "a"), ("assistant", "b")] and got["dd-dialogues_b-002999"] == [("user", "q2999"), ("assistant", "r2999")]
+    assert read(spark, str(tmp_path / "d"), limit=5).count() == 5
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # many splits of one file
+    try:
+        lines = readers.numbered_lines(spark, str(tmp_path / "d" / "deep" / "dialogues_b.txt"))
+        assert lines.rdd.getNumPartitions() > 1
+        assert [(r.line, r.value) for r in lines.orderBy("line").collect()] == [(i, f"q{i} __eou__ r{i}") for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "s.jsonl").write_text('{"id": "a", "scores": {"x": 1, "y": "no"}}\n\n{"id": "a", "scores": {"x": 2.5}}\n')
+    assert [(r.id, r.scores) for r in readers.read_scores(spark, str(tmp_path / "s.jsonl")).collect()] == [("a", {"x": 2.5})]
+    assert readers.read_scenarios(spark, str(tmp_path / "none.jsonl"), [("d", "c", ["hi"], None)]).count() == 1
+    (tmp_path / "p.json").write_text('{"GREETING": [{"token": "hey", "lift": 2.5}], "BYE": []}')
+    assert [tuple(r) for r in readers.read_prefix_map(spark, str(tmp_path / "p.json")).collect()] == [("GREETING", "hey", 2.5)]
+    assert readers.read_prefix_map(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "runs" / "r1").mkdir(parents=True)
+    (tmp_path / "runs" / "r1" / "summary.json").write_text('{"model": "m1",\n "clean": 0.5}')
+    assert [r.model for r in readers.read_summaries(spark, str(tmp_path / "runs")).collect()] == ["m1"]
+    (tmp_path / "runs" / "all_models.json").write_text('[{"model": "m1"}, {"model": "m2"}]')
+    assert sorted(r.model for r in readers.read_summaries(spark, str(tmp_path / "runs")).collect()) == ["m1", "m2"]
+
+
+def test_token_rows_and_stages(spark):
+    from talkmill.operators import encoding
+
+    talks = spark.createDataFrame([("a", None, [("user", " hi "), ("assistant", "yo")]), ("b", None, [("user", "x" * 50)]), ("c", None, None), ("d", None, [("tool", "z"), ("assistant", None)])], TALK).withColumn("weight", F.lit(2.0))
+    e = {r.id: r.e for r in talks.where("messages is not null").select("id", encoding.encoded(F.col("messages")).alias("e")).collect()}
+    ids = lambda t: [ord(c) + encoding.FIRST_ID for c in t]
+    assert list(e["a"].ids) == [1, 3, *ids("hi"), 6, 4, *ids("yo"), 6, 2] and list(e["a"].mask) == [0] * 6 + [1, 1, 1, 1] and list(e["d"].ids) == [1, 4, 6, 2]
+    rows = {r.id: r for r in encoding.dataset("sft", talks, 12, "be nice").collect()}
+    assert len(rows["a"].input_ids) == 12 == len(rows["a"].loss_mask) and rows["a"].input_ids[0] == encoding.BOS and rows["a"].input_ids[-4:] == [*ids("yo"), 6, 2]
+    assert "b" in rows  # the end mark of every talk counts as the assistant's
+    for stage in ("clm", "distill"):
+        if stage == "clm":
+            blocks = encoding.dataset(stage, talks.where("messages is not null"), 12).collect()
+            per = {}
+            for r in blocks:
+                per[r.block] = per.get(r.block, 0) + r.stop - r.start
+            assert per and set(per.values()) == {13} and {r.copy for r in blocks} == {0, 1}
+    with pytest.raises(ValueError):
+        encoding.dataset("other", talks, 12)
+    assert encoding.packed(encoding.training_rows(talks.where("id = 'd'"), 12, None), 500).count() == 0  # under one block
+
+
+def test_gates(spark):
+    from talkmill.operators import benches, harness
+
+    assert benches.promotion({"directional": 0.5, "tier_1": 0.9}, {"directional": 0.2, "tier_1": 0.91}) == []
+    assert len(benches.promotion({"directional": 0.25, "tier_1": 0.5}, {"directional": 0.2, "tier_1": 0.9})) == 3 and benches.promotion({}, {}) == ["no directional score"]
+    assert benches.variety_gate(0.25) and not benches.variety_gate(0.26)
+    per = spark.createDataFrame([("a", 1, 0.5), ("b", 1, 0.995), ("c", 3, 0.1)], "intent string, tier int, pass_rate double")
+    boosts = spark.createDataFrame([("a", 3.0), ("b", 1.1), ("gone", 2.0), ("c", 4.0)], "intent string, boost double")
+    got = {r.intent: r.boost for r in benches.adapted_boosts(per, boosts).collect()}
+    assert got == {"a": 4.0, "gone": 1.7, "c": 4.0}
+    rows = spark.createDataFrame([("it was good. it was good. it was good", ["x"]), ("Yo?", ["yo? "]), ("yeah", ["yeah"]), ("<|len_short|> as an AI", [])], "t string, e array<string>").withColumn("w", metrics.words(F.col("t")))
+    codes = [r.c for r in rows.select(harness.failures(F.col("t"), "w", F.lit("P06"), F.col("e"), F.lit(True)).alias("c")).collect()]
+    assert codes == [["internal_loop"], ["exact_repeat", "question_when_forbidden", "question_while_closing", "question_after_farewell"], [], ["special_token_leak", "ai_boilerplate"]]
+    probs = spark.createDataFrame([([0.9, 0.1],), ([0.5, 0.3, 0.2],), ([0.25] * 4,), ([],)], "p array<double>").select(harness.confidence(F.col("p"), 0.6, 0.2).alias("c")).collect()
+    assert [r.c.status for r in probs] == ["HIGH", "MEDIUM", "LOW", "LOW"] and abs(probs[2].c.entropy - 1) < 1e-9
