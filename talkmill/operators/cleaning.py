@@ -130,10 +130,12 @@ def deduplicate(rows: DataFrame, text: Column, order: str, n: int = 8, marks: st
     exact = keyed.join(first.where("__first is not null"), "__key").select(order, (F.col("__first") < F.col(order)).alias("__exact"))
     grams = F.when(F.size("__words") < n, F.filter(F.array(F.array_join("__words", " ")), lambda s: s != "")).otherwise(ngrams("__words", n))
     alive = keyed.join(exact.where("not __exact"), order).select(order, F.array_distinct(grams).alias("__grams"))
-    each = alive.select(order, F.explode("__grams").alias("__gram"))
-    seen = each.groupBy("__gram").agg(F.min(order).alias("__first"))
+    # Sixteen bytes stand for a shingle in both shuffles, not its eight words.
+    marks_of = F.transform("__grams", lambda g: F.struct(F.xxhash64(g).alias("a"), F.xxhash64(F.lit("shingle"), g).alias("b")))
+    each = alive.select(order, F.explode(marks_of).alias("__g")).select(order, F.col("__g.a").alias("__a"), F.col("__g.b").alias("__b"))
+    seen = each.groupBy("__a", "__b").agg(F.min(order).alias("__first"))
     near = (
-        each.join(seen, "__gram").groupBy(order)
+        each.join(seen, ["__a", "__b"]).groupBy(order)
         .agg(F.count(F.lit(1)).alias("__n"), F.max("__first").alias("__last"))
         .where(F.col("__n") > 3).where(F.col("__last") < F.col(order)).select(order, F.lit(True).alias("__near"))
     )

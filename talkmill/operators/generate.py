@@ -216,3 +216,51 @@ def spliced(spark: SparkSession, n: int, pool: DataFrame, facts: Sequence[tuple[
     text = lambda j: F.get(F.array(*[F.lit(x[j]) for x in facts]), f)
     middle = F.flatten(F.transform("g", lambda x: F.array(x["asked"], x["said"])))
     return joined.select("k", f.cast("bigint").alias("fact"), F.col("gap").cast("bigint").alias("gap"), F.concat(F.array(text(0)), middle, F.array(text(1), text(2))).alias("messages"))
+
+
+def offline_talks(spark: SparkSession, n: int, topics: Sequence[str], openers: dict[str, Sequence[str]], replies: dict[str, Sequence[str]], follow: Sequence[str], with_candidates: float = 0.3) -> DataFrame:
+    """(k, topic, valence, messages, candidates): topics go round, replies fit the valence of the opener; some talks carry candidates.
+
+    ``{t}`` in a text is the topic. Two to four exchanges; candidates are all replies of the valence, the best one marked by its
+    score, so that selection has something to choose from.
+    """
+    u = lambda name: uniform(F.col("k"), name)
+    kinds = sorted(openers)
+    rows = spark.range(n).withColumnRenamed("id", "k").withColumn("topic", F.get(F.array(*[F.lit(t) for t in topics]), F.pmod("k", F.lit(len(topics))).cast("int")))
+    rows = rows.withColumn("valence", pick(u("valence"), kinds))
+    of = lambda make: F.coalesce(*[F.when(F.col("valence") == v, make(v)) for v in kinds])
+    count = 2 + F.floor(u("exchanges") * 3)
+    messages = [of(lambda v: pick(u("opener"), openers[v])), of(lambda v: pick(u("reply 0"), replies[v]))]
+    for i in (1, 2, 3):
+        messages += [F.when(count > i, pick(u(f"follow {i}"), follow)), F.when(count > i, of(lambda v, i=i: pick(u(f"reply {i}"), replies[v])))]
+    text = F.transform(F.filter(F.array(*messages), lambda m: m.isNotNull()), lambda m: F.replace(m, F.lit("{t}"), F.col("topic")))
+    scored = of(lambda v: F.array(*[F.struct(F.lit(x).alias("content"), F.lit(round(5.0 - i, 1)).alias("score")) for i, x in enumerate(replies[v])]))
+    return rows.select("k", "topic", "valence", text.alias("messages"), F.when(u("candidates") < with_candidates, scored).alias("candidates"))
+
+
+def combined_talks(spark: SparkSession, n: int, openers: dict[str, Sequence[str]], replies: dict[str, Sequence[str]], parts: dict[str, tuple[float, Sequence[tuple[str, str]]]], memory: tuple[float, Sequence[tuple[str, str, str]]], closers: tuple[float, Sequence[tuple[str, str]]], heavy: str) -> DataFrame:
+    """(k, valence, used, messages): an opener and its reply, then optional parts, each with its own probability, and a closer.
+
+    ``parts``: name -> (probability, exchanges), in order (a new topic, a question nobody can answer, a boundary); ``memory``:
+    a fact stated after the opener and asked for before the closer. A ``heavy`` valence takes no new topic and no boundary:
+    the talk stays with it. ``used`` names the parts of a talk.
+    """
+    u = lambda name: uniform(F.col("k"), name)
+    kinds = sorted(openers)
+    rows = spark.range(n).withColumnRenamed("id", "k").withColumn("valence", pick(u("valence"), kinds))
+    of = lambda make: F.coalesce(*[F.when(F.col("valence") == v, make(v)) for v in kinds])
+    pair = lambda bank, name, j: pick(u(name), [x[j] for x in bank])
+    remembers = u("memory") < memory[0]
+    messages = [of(lambda v: pick(u("opener"), openers[v])), of(lambda v: pick(u("reply"), replies[v]))]
+    messages += [F.when(remembers, pair(memory[1], "fact", 0)), F.when(remembers, of(lambda v: pick(u("noted"), replies[v])))]
+    used = [F.when(remembers, F.lit("memory"))]
+    for name, (share, bank) in parts.items():
+        here = (u(name) < share) & ((F.col("valence") != heavy) | F.lit(name == "unknown"))
+        messages += [F.when(here, pair(bank, f"which {name}", j)) for j in (0, 1)]
+        used.append(F.when(here, F.lit(name)))
+    messages += [F.when(remembers, pair(memory[1], "fact", j)) for j in (1, 2)]
+    ends = u("closer") < closers[0]
+    messages += [F.when(ends, pair(closers[1], "which closer", j)) for j in (0, 1)]
+    used.append(F.when(ends, F.lit("closer")))
+    solid = lambda xs: F.filter(F.array(*xs), lambda m: m.isNotNull())
+    return rows.select("k", "valence", solid(used).alias("used"), solid(messages).alias("messages"))

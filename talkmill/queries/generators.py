@@ -29,6 +29,17 @@ SPEC_BANKS = {"topic": ("rain", "soup", "trains", "paint"), "user_mood": ("calm"
 FACTS = (("my cat is called Pip", "what is my cat called?", "Pip"), ("i live in Rome", "where do i live?", "in Rome"), ("i work as a baker", "what is my job?", "you are a baker"))
 
 
+TALK_OPENERS = {"bad": ("the {t} was awful", "i am done with the {t}"), "good": ("the {t} was lovely", "finally some good {t}"), "plain": ("about the {t}", "so, the {t}")}
+TALK_REPLIES = {"bad": ("that is rough", "sorry to hear it", "oh no"), "good": ("lovely", "nice one"), "plain": ("mm", "right", "go on")}
+TOPICS = ("work", "garden", "bus", "soup", "choir")
+PARTS = {
+    "switch": (0.18, (("anyway, did you see the rain?", "yeah, all day"), ("so, new shoes", "nice, which ones?"))),
+    "unknown": (0.10, (("who won in 1911?", "no idea"), ("what is my shoe size?", "you never told me"))),
+    "boundary": (0.08, (("tell me a secret", "i would rather not"),)),
+}
+ENDINGS = (("got to go", "see you"), ("night", "sleep well"), ("talk later", "sure"))
+
+
 def u(name: str, ident: str) -> str:
     return f"(('0x' || sha256('1337:{name}:' || {ident})[1:8])::bigint / 4294967296.0::double)"
 
@@ -120,6 +131,41 @@ select k, fact, gap, 2 * gap + 3 as n, sha256(([{listed(f[0] for f in FACTS)}])[
 """
 
 
+def offline_talks(spark, d, n: int = 2_000):
+    rows = generate.offline_talks(spark, n, TOPICS, TALK_OPENERS, TALK_REPLIES, FILLERS)
+    return longs(rows.select("k", "topic", "valence", F.array_join("messages", " / ").alias("messages"), F.coalesce(F.size("candidates"), F.lit(0)).alias("n_candidates")))
+
+
+def _by_valence(make) -> str:
+    return "case valence " + " ".join(f"when '{v}' then {make(v)}" for v in sorted(TALK_OPENERS)) + " end"
+
+
+def _offline_sql() -> str:
+    more = ", ".join(f"case when n > {i} then {one_of(FILLERS, f'follow {i}', 'k')} end, case when n > {i} then {_by_valence(lambda v, i=i: one_of(TALK_REPLIES[v], f'reply {i}', 'k'))} end" for i in (1, 2, 3))
+    return f"""
+with a as (select k, ([{listed(TOPICS)}])[k % {len(TOPICS)} + 1] as topic, {one_of(sorted(TALK_OPENERS), "valence", "k")} as valence, 2 + floor({u("exchanges", "k")} * 3) as n from (select unnest(range(0, 2000)) as k))
+select k, topic, valence, replace(array_to_string(list_filter([{_by_valence(lambda v: one_of(TALK_OPENERS[v], "opener", "k"))}, {_by_valence(lambda v: one_of(TALK_REPLIES[v], "reply 0", "k"))}, {more}], lambda x: x is not null), ' / '), '{{t}}', topic) as messages,
+  (case when {u("candidates", "k")} < 0.3 then case valence {" ".join(f"when '{v}' then {len(x)}" for v, x in TALK_REPLIES.items())} end else 0 end)::bigint as n_candidates from a
+"""
+
+
+def combined_talks(spark, d, n: int = 2_000):
+    """Talks of optional parts; the bad valence is the heavy one."""
+    rows = generate.combined_talks(spark, n, TALK_OPENERS, TALK_REPLIES, PARTS, (0.22, FACTS), (0.55, ENDINGS), "bad")
+    return rows.select("k", "valence", F.array_join("used", ",").alias("used"), F.array_join("messages", " / ").alias("messages"))
+
+
+def _combined_sql() -> str:
+    pair = lambda bank, name, j: one_of([x[j] for x in bank], name, "k")
+    on = {"memory": f"{u('memory', 'k')} < 0.22", **{name: f"({u(name, 'k')} < {share}" + ("" if name == "unknown" else " and valence <> 'bad'") + ")" for name, (share, _) in PARTS.items()}, "closer": f"{u('closer', 'k')} < 0.55"}
+    said = [_by_valence(lambda v: one_of(TALK_OPENERS[v], "opener", "k")), _by_valence(lambda v: one_of(TALK_REPLIES[v], "reply", "k"))]
+    said += [f"case when {on['memory']} then {x} end" for x in (pair(FACTS, "fact", 0), _by_valence(lambda v: one_of(TALK_REPLIES[v], "noted", "k")))]
+    said += [f"case when {on[name]} then {pair(bank, f'which {name}', j)} end" for name, (_, bank) in PARTS.items() for j in (0, 1)]
+    said += [f"case when {on['memory']} then {pair(FACTS, 'fact', j)} end" for j in (1, 2)] + [f"case when {on['closer']} then {pair(ENDINGS, 'which closer', j)} end" for j in (0, 1)]
+    solid = lambda xs, sep: f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x is not null), '{sep}')"
+    return f"with a as (select k, {one_of(sorted(TALK_OPENERS), 'valence', 'k')} as valence from (select unnest(range(0, 2000)) as k)) select k, valence, {solid([f'case when {c} then {q(name)} end' for name, c in on.items()], ',')} as used, {solid(said, ' / ')} as messages from a"
+
+
 def with_given_choice(spark, d):
     """The last turn of each stored talk after its chosen candidate, or else its best one, has replaced it."""
     talks = conv.apply_chosen(table(spark, d, "example_conversations").where("messages is not null"))
@@ -210,7 +256,7 @@ select round(avg(p), 4) as pass_rate, round(avg(u), 4) as unique_rate, round(avg
 """
 
 QUERIES = {
-    "frame_examples": (frame_examples, _frames_sql()), "state_pairs": (state_pairs, _pairs_sql()), "planned_specs": (planned_specs, _specs_sql()), "spliced_talks": (spliced_talks, SPLICED),
+    "frame_examples": (frame_examples, _frames_sql()), "state_pairs": (state_pairs, _pairs_sql()), "planned_specs": (planned_specs, _specs_sql()), "spliced_talks": (spliced_talks, SPLICED), "offline_talks": (offline_talks, _offline_sql()), "combined_talks": (combined_talks, _combined_sql()),
     "with_given_choice": (with_given_choice, WITH_GIVEN_CHOICE), "downweighted": (downweighted, DOWNWEIGHTED), "corpus_means": (corpus_means, CORPUS_MEANS), "skill_policies": (skill_policies, SKILL_POLICIES_SQL),
     "weakest": (weakest, WEAKEST), "measure_composite": (measure_composite, MEASURE),
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
+from talkmill.functions import budgets
 from talkmill.functions.metrics import ratio, words
 from talkmill.functions.normalize import surface
 from talkmill.operators import benches, cleaning, conversations as conv, encoding, evaluation as ev, generate, selection, vectors
@@ -297,10 +298,23 @@ select k, name as intent, prompt, '<|len_' || length || '|> ' || target as reply
 """
 
 
+def byte_budgets(spark, d):
+    """What each capacity, as megabytes, holds at two precisions, and the size of a model of that hidden width."""
+    c = F.col("capacity_tokens").cast("bigint")
+    count = budgets.parameters(F.lit(4096), c, F.lit(8), c, F.floor(c / 4), 3 * c, F.lit(True))
+    rows = table(spark, d, "pack_limits").where("capacity_tokens > 0")
+    return longs(rows.select("profile", budgets.largest_count(c, "int8").alias("fits_int8"), budgets.largest_count(c, "int4").alias("fits_int4"), count.alias("parameters"), budgets.deployed_bytes(count, "int4").alias("bytes_int4")))
+
+
+BYTE_BUDGETS = """
+with c as (select profile, capacity_tokens::bigint as c from pack_limits where capacity_tokens > 0), p as (select *, 4096 * c + 8 * (2 * c * c + 2 * c * (c // 4) + 9 * c * c + 2 * c) + c as parameters from c)
+select profile, greatest(0, floor((c * 1048576 - 720000) * 8 / 8))::bigint as fits_int8, greatest(0, floor((c * 1048576 - 720000) * 8 / 4))::bigint as fits_int4, parameters, floor(parameters * 4 / 8)::bigint + 720000 as bytes_int4 from p
+"""
+
 QUERIES = {
     "token_masks": (token_masks, TOKEN_MASKS), "sft_rows": (sft_rows, SFT_ROWS), "packed_blocks": (packed_blocks, PACKED_BLOCKS), "chat_renders": (chat_renders, CHAT_RENDERS),
     "surface_hits": (surface_hits, SURFACE_HITS), "clean_pool": (clean_pool, CLEAN_POOL), "limit_per_source": (limit_per_source, LIMIT_PER_SOURCE), "source_union": (source_union, SOURCE_UNION),
     "split_disjointness": (split_disjointness, SPLIT_DISJOINTNESS), "top_logits": (top_logits, TOP_LOGITS), "attractor_share": (attractor_share, ATTRACTOR_SHARE), "referent_reuse": (referent_reuse, REFERENT_REUSE),
     "skill_index": (skill_index, SKILL_INDEX), "line_diagnosis": (line_diagnosis, LINE_DIAGNOSIS), "token_stats": (token_stats, TOKEN_STATS), "centroid_cosines": (centroid_cosines, CENTROID_COSINES),
-    "packed_int4": (packed_int4, PACKED_INT4), "candidate_losses": (candidate_losses, CANDIDATE_LOSSES), "epoch_budgets": (epoch_budgets, EPOCH_BUDGETS), "core_examples": (core_examples, core_examples_sql()),
+    "packed_int4": (packed_int4, PACKED_INT4), "candidate_losses": (candidate_losses, CANDIDATE_LOSSES), "epoch_budgets": (epoch_budgets, EPOCH_BUDGETS), "core_examples": (core_examples, core_examples_sql()), "byte_budgets": (byte_budgets, BYTE_BUDGETS),
 }
